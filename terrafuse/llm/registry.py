@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from terrafuse.llm import quality
+from terrafuse.llm.langid import op5_language_id
+from terrafuse.llm.packing import op3_pack_documents
+from terrafuse.llm.quality import op6_host_quality
+from terrafuse.llm.secrets import op7_secret_scan
 from terrafuse.llm.simhash import op1_simhash_dedup
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op3_pack_documents": op3_pack_documents,
+    "op5_language_id": op5_language_id,
+    "op6_host_quality": op6_host_quality,
+    "op7_secret_scan": op7_secret_scan,
+}
+ORACLE: dict[str, str] = {
+    "op6_host_quality": quality.ORACLE_SQL,
 }
-ORACLE: dict[str, str] = {}
