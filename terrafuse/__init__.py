@@ -1 +1,8 @@
 """terrafuse: a PySpark-native geo-conflation and analytics engine."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
