@@ -47,6 +47,12 @@ class Tables:
         k = F.col("c_custkey")
         return self.customer.select(k.alias("id"), (k * 7919 % 10007 / F.lit(100.0)).alias("x"), (k * k % 9973 / F.lit(100.0)).alias("y"))
 
+    @property
+    def near(self) -> DataFrame:
+        """id, x, y: a point inside or beside the box of the same id"""
+        k = F.col("id")
+        return self.pt.select(k, (F.col("x") + k % 13 / F.lit(4.1) - 1.03).alias("x"), (F.col("y") + k % 11 / F.lit(4.1) - 1.03).alias("y"))
+
     @property
     def spt(self) -> DataFrame:
         """id, x, y: a site for each supplier"""
@@ -82,6 +88,7 @@ VOTES = """votes AS (SELECT event_id // 11 AS case_id, user_id AS ip, ts, event_
        WHEN event_type = 'signup' THEN CASE WHEN (event_id // 11) % 2 = 0 THEN 'join' ELSE 'keep' END ELSE 'unknown' END AS choice
   FROM events WHERE NOT ((event_id // 11) % 3 = 0 AND event_id % 11 > 4))"""
 PT = "pt AS (SELECT c_custkey AS id, (c_custkey * 7919 % 10007) / 100.0::DOUBLE AS x, (c_custkey * c_custkey % 9973) / 100.0::DOUBLE AS y FROM customer)"
+NEAR = f"{PT}, near AS (SELECT id, x + id % 13 / 4.1::DOUBLE - 1.03::DOUBLE AS x, y + id % 11 / 4.1::DOUBLE - 1.03::DOUBLE AS y FROM pt)"
 SPT = "spt AS (SELECT s_suppkey AS id, (s_suppkey * 6007 % 10007) / 100.0::DOUBLE AS x, (s_suppkey * s_suppkey * 31 % 9973) / 100.0::DOUBLE AS y FROM supplier)"
 BX = """bx AS (SELECT p_partkey AS id, (p_partkey * 7919 % 10007) / 100.0::DOUBLE AS x0, (p_partkey * p_partkey % 9973) / 100.0::DOUBLE AS y0,
   (p_partkey * 7919 % 10007) / 100.0::DOUBLE + p_size / 10.0::DOUBLE AS x1, (p_partkey * p_partkey % 9973) / 100.0::DOUBLE + (p_size % 7 + 1) / 2.0::DOUBLE AS y1 FROM part)"""
