@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafuse.functions.geometry import box_distance
+from terrafuse.plans.cut import cut
 
 #: D of the expanding search for a house number's parcel: 0 to 3, 4 to 48 by 2, 50 to 195 by 5.
 LADDER = (*range(4), *range(4, 50, 2), *range(50, 200, 5))
@@ -133,26 +134,28 @@ def ladder_step(distance: Column) -> Column:
     return F.filter(F.array(*[F.lit(s) for s in LADDER]), lambda s: s >= distance)[0]
 
 
-def greedy_pairs(edges: DataFrame, order: list[str], rounds: int = 100) -> DataFrame:
+def greedy_pairs(edges: DataFrame, order: list[str], one_set: bool = False, rounds: int = 100) -> DataFrame:
     """The pairs (a, b) that a greedy one-to-one pass over the edges in some order takes.
 
     Each round takes the edges that come first at both their ends and drops the edges at the ends
     taken, which gives what the sequential pass gives: an edge that is first at both ends can lose to none.
-    Order and ends together must be total. Rounds are checkpointed by the caller's session.
+    Order and ends together must be total. With one_set, a and b are of the same set, and nothing is taken twice in either role.
     """
-    from terrafuse.plans.cut import cut
-
     key = F.struct(*order, "a", "b")
     left, taken = cut(edges.select("a", "b", *order)), None
     for _ in range(rounds):
-        first_a = left.groupBy("a").agg(F.min(key).alias("ka"))
-        first_b = left.groupBy("b").agg(F.min(key).alias("kb"))
-        now = left.join(first_a, "a").join(first_b, "b").where((F.col("ka") == key) & (F.col("kb") == key)).select("a", "b", *order)
-        now = cut(now)
+        ends = left.select(F.struct(F.lit(0).alias("s"), F.col("a").alias("e")).alias("end"), key.alias("k")).union(
+            left.select(F.struct(F.lit(0 if one_set else 1).alias("s"), F.col("b").alias("e")).alias("end"), key.alias("k"))
+        )
+        first = ends.groupBy("end").agg(F.min("k").alias("k"))
+        # an edge is taken if it is the first one of two ends
+        now = cut(first.groupBy("k").count().where("count = 2").select("k.*").select("a", "b", *order))
         taken = now if taken is None else taken.union(now)
-        left = cut(left.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti"))
+        gone = now.select(F.col("a").alias("e")).union(now.select(F.col("b").alias("e"))) if one_set else None
+        free_a = left.join((gone if one_set else now.select(F.col("a").alias("e"))).withColumnRenamed("e", "a"), "a", "left_anti")
+        left = cut(free_a.join((gone if one_set else now.select(F.col("b").alias("e"))).withColumnRenamed("e", "b"), "b", "left_anti"))
         if left.isEmpty():
-            return taken
+            return taken.select("a", "b", *order)
     raise RuntimeError(f"no greedy assignment within {rounds} rounds")
 
 
