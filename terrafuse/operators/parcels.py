@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafuse.functions.text import interval_numbers, postal_truncate
 
-#: Lines of the printed form that carry nothing.
-BOILERPLATE = ("Service de la", "Cet extrait", "Section", "Contenance", "Commune de")
-REFERENCE = r"^Références de la parcelle (\S+) ([0-9]+)(?: ([0-9]+))?\s*$"
+# How the lines of the printed form begin that carry nothing.
+BOILERPLATE = (
+    "Service de la Documentation Nationale du Cadastre",
+    "82, rue du Maréchal Lyautey - 78103 Saint-Germain-en-Laye Cedex",
+    "SIRET 16000001400011",
+    "Informations sur la feuille éditée par internet le ",
+    "©201",
+)
+REFERENCE = r"^Références de la parcelle (\S+) (\S+)(?: ([0-9]+))?\s*$"
 #: The line that opens an address.
 ADDRESS = "Adresse"
 
@@ -17,16 +25,19 @@ ADDRESS = "Adresse"
 def parcel_addresses(lines: DataFrame, commune: str) -> DataFrame:
     """(fid, addresses) from the lines (doc, line_no, line) of printed parcel information.
 
+    A reference has two or three parts; the number of one with two is 0.
+
     Where in the form a line stands is carried forward by windows over the document: its parcel, and
     the number of its address. Addresses are cut at the postal code, intervals are expanded, repeats go.
     """
     order = Window.partitionBy("doc").orderBy("line_no")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     text = F.trim("line")
-    rows = lines.where(~F.coalesce(text.rlike("^(" + "|".join(BOILERPLATE) + ")"), F.lit(False)))
+    empty = [F.startswith(text, F.lit(b)) for b in BOILERPLATE]
+    rows = lines.where(~F.coalesce(reduce(lambda a, b: a | b, empty), F.lit(False)))
     ref = lambda g: F.regexp_extract(text, REFERENCE, g)
-    two = ref(3) == ""
-    fid = F.concat(F.lit(commune), F.when(two, F.lit("000")).otherwise(F.lpad(ref(1), 3, "0")), F.lpad(F.when(two, ref(1)).otherwise(ref(2)), 2, "0"), F.lpad(F.when(two, ref(2)).otherwise(ref(3)), 4, "0"))
+    padded = F.when(F.length(ref(2)) == 1, F.concat(F.lit("0"), ref(2))).otherwise(ref(2))
+    fid = F.concat(F.lit(commune), ref(1), padded, F.lpad(F.when(ref(3) == "", "0").otherwise(ref(3)), 4, "0"))
     rows = rows.withColumn("marker", F.when(text.rlike(REFERENCE), fid)).withColumn("opens", (text == ADDRESS).cast("int"))
     rows = rows.withColumn("fid", F.last("marker", ignorenulls=True).over(upto)).where("fid is not null")
     within = Window.partitionBy("doc", "fid").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)

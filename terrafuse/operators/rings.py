@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FEATURES = 46
 #: A pair whose common run is shorter than this share of both outer parts has no features.
@@ -93,7 +94,7 @@ def _ring(points) -> Ring:
     return [(p["x"], p["y"]) for p in points]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def pair_features(ring1: pd.Series, ring2: pd.Series) -> pd.Series:
     """features() of two columns of rings (arrays of x, y)."""
     return pd.Series([features(_ring(a), _ring(b)) if a is not None and b is not None else None for a, b in zip(ring1, ring2, strict=True)])
