@@ -49,17 +49,23 @@ class Index:
             return near.argmin(axis=1)[:, None]
         return np.argsort(near, axis=1, kind="stable")[:, :n]
 
-    def bound(self, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-        """A distance within which each row has k neighbours for sure: its k-th among the sample; inf if that is smaller."""
+    def probed(self, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists of each row, nearest first, how many of them it probes, and a distance within which these hold k neighbours.
+
+        A row probes more lists than usual until they hold k others of the sample for sure; the distance is
+        that of the k-th of these. If the sample has not k others, all lists are probed without a bound.
+        """
+        order = self.lists(x, len(self.centroids)) if len(self.centroids) > 1 else np.zeros((len(x), 1), int)
+        own = self.lists(self.sample, 1)[:, 0] if len(self.sample) else np.empty(0, int)
+        size = np.bincount(own, minlength=len(self.centroids))
+        enough = np.cumsum(size[order], axis=1) > k  # one of them may be the row itself
+        probes = np.where(enough[:, -1], np.maximum(self.probes, enough.argmax(axis=1) + 1), len(self.centroids))
         if len(self.sample) <= k:
-            return np.full(len(x), np.inf)
-        out, square = np.empty(len(x)), (self.sample**2).sum(axis=1)
-        for at in range(0, len(x), 256):
-            part = x[at : at + 256]
-            d = np.maximum((part**2).sum(axis=1)[:, None] + square - 2 * part @ self.sample.T, 0)
-            d[ids[at : at + 256, None] == self.sample_ids] = np.inf
-            out[at : at + 256] = np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1])
-        return out * (1 + 1e-9) + 1e-6
+            return order, probes, np.full(len(x), np.inf)
+        d = np.maximum((x**2).sum(axis=1)[:, None] + (self.sample**2).sum(axis=1) - 2 * x @ self.sample.T, 0)
+        place = np.argsort(order, axis=1)
+        d[(ids[:, None] == self.sample_ids) | (place[:, own] >= probes[:, None])] = np.inf
+        return order, probes, np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1]) * (1 + 1e-9) + 1e-6
 
 
 def fit_index(ids: np.ndarray, x: np.ndarray, total: int, k: int = K, recall: float = RECALL) -> Index:
@@ -157,11 +163,12 @@ def nearest(
             ids = b.column("vec_id").to_numpy()
             for at in range(0, len(x), 64):  # each query comes out once for every list that it probes
                 part = x[at : at + 64]
-                lists = index.lists(part, index.probes)
-                which = np.repeat(np.arange(at, at + len(part)), index.probes)
-                bound = index.bound(ids[at : at + 64], part, k)
+                order, probes, bound = index.probed(ids[at : at + 64], part, k)
+                row = np.repeat(np.arange(len(part)), probes)
+                lists = order[np.arange(order.shape[1]) < probes[:, None]]
+                which = at + row
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("vec_id").take(pa.array(which)), b.column("v").take(pa.array(which)), pa.array(lists.ravel(), pa.int32()), pa.array(bound[which - at])],
+                    [b.column("vec_id").take(pa.array(which)), b.column("v").take(pa.array(which)), pa.array(lists, pa.int32()), pa.array(bound[row])],
                     ["query_id", "q", "list", "bound"],
                 )
 
