@@ -17,6 +17,8 @@ UNDETERMINED = "und"
 ORDER = 4
 #: Labelled documents that a model is fitted on, for each language and in all.
 ROWS_PER_LANGUAGE, ROWS = 400, 8000
+#: Texts are scored in slices of about this many bytes, each of which takes some fifty bytes of memory.
+SLICE = 1 << 20
 
 
 def grams_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +178,7 @@ def identify(docs: DataFrame, model: Ppm, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([*model.languages, UNDETERMINED])
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 best, score = model.predict(part.column("text"), part.column("letters").to_numpy(zero_copy_only=False))
                 named = names.take(pa.array(np.where(best < 0, len(model.languages), best)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), named, pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
@@ -194,7 +196,7 @@ def keep_identified(docs: DataFrame, model: Ppm, least_score: float = 0.5, text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([*model.languages, UNDETERMINED])
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE):
                 best, score = model.predict(part.column(text_col), part.column(letters).to_numpy(zero_copy_only=False))
                 kept = pa.array((best >= 0) & (score >= least_score))
                 named = names.take(pa.array(np.where(best < 0, len(model.languages), best)))
