@@ -100,7 +100,7 @@ def test_step_up_limits(spark):
 
 def test_random_strings_are_found_and_ordinary_ones_are_not(spark):
     # many ordinary strings, which the step-up rejects as not random, and a few keys among them
-    words = ["Internationalisierungs1", "zzzzzzzzzzzzzzzzzzzzzzzz1", "Abcabcabcabcabcabcabcabc1", "Xxxxxxxxxxxxxxxxxxxxxxxx9"] * 30
+    words = ["Internationalisierungs1", "zzzzzzzzzzzzzzzzzzzzzzzz1", "Xyzxyzxyzxyzxyzxyzxyzxyz1", "Xxxxxxxxxxxxxxxxxxxxxxxx9"] * 30
     keys = [token(100 + i, B64, 48) for i in range(8)]
     rows = documents(spark, [f"see {w} now" for w in words] + [f"see {k} now" for k in keys])
     got = {r.doc_id: r.spans for r in secrets.scan(rows).collect()}
