@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terrafuse.functions import geometry as G
 from terrafuse.functions import text as X
-from terrafuse.operators import classify, cleaning, graph, parcels, rings, spatial, votes
+from terrafuse.operators import buildings, classify, cleaning, glyphs, graph, parcels, rings, spatial, votes
 from terrafuse.sources import fixed_width, json_layers, osm, paths
 from terrafuse.streaming import votes as stream_votes
 
@@ -226,3 +226,53 @@ def test_library_does_not_import_the_training_data_subpackage():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "terrafuse.llm" not in path.read_text()
+
+
+def test_numbers_on_shared_sides(spark):
+    square = lambda i, x: (i, [(x, 0.0), (x + 10, 0.0), (x + 10, 10.0), (x, 10.0), (x, 0.0)])
+    rings_ = spark.createDataFrame([square(1, 0.0), square(2, 10.0)], "id long, ring array<struct<x:double,y:double>>")
+    rows = [(1, 5.0, -1.0, 0.0), (2, 10.05, 5.0, 0.0), (3, 5.0, 3.0, 0.0), (4, 5.0, -3.0, 0.0), (5, 5.0, -0.5, 0.1), (6, 5.0, -0.5, 1.2)]
+    got = {r.id: (round(r.x, 6), round(r.y, 6), list(r.ways)) for r in buildings.snap_numbers(spark.createDataFrame(rows, "id long, x double, y double, angle double"), rings_).collect()}
+    assert got[1] == (5.0, 0.0, [1]) and got[2] == (10.0, 5.0, [1, 2])
+    assert 3 not in got and 4 not in got and 6 not in got
+    assert got[5][1] == 0.0 and got[5][0] == pytest.approx(5 - 0.5 * math.tan(0.1))
+
+
+def test_split_buildings_found_in_a_whole(spark):
+    ring = lambda x0, x1: [(x0, 0.0), (x1, 0.0), (x1, 4.0), (x0, 4.0), (x0, 0.0)]
+    schema = "id long, ring array<struct<x:double,y:double>>"
+    parts = spark.createDataFrame([(1, ring(0.0, 5.0)), (2, ring(5.0, 10.0)), (3, ring(10.0, 12.0))], schema)
+    got = [(r.whole, list(r.parts), r.joined) for r in buildings.covered_by(parts, spark.createDataFrame([(9, ring(0.0, 10.0))], schema), 4.0, 0.01).collect()]
+    assert got == [(9, [1, 2], True)]
+
+
+def test_joined_ring(spark):
+    p = lambda *xy: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in xy])
+    got = one(spark, buildings.joined_ring(p((1, 1), (0, 1), (0, 0), (1, 0)), p((1, 0), (2, 0), (2, 1), (1, 1))))
+    assert [(q["x"], q["y"]) for q in got] == [(1, 1), (0, 1), (0, 0), (1, 0), (2, 0), (2, 1), (1, 1)]
+
+
+def test_upserts(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    new = buildings.insert_absent(old, spark.createDataFrame([(2, "x"), (3, "c"), (3, "c")], "k long, v string"), "k")
+    assert sorted(tuple(r) for r in new.collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    done, lost = buildings.update_by_key(old, spark.createDataFrame([(2, None), (7, "z")], "k long, v string"), ["k"], "v")
+    assert sorted(tuple(r) for r in done.collect()) == [(1, "a"), (2, None)] and [r.k for r in lost.collect()] == [7]
+
+
+def test_glyphs(spark):
+    shape = np.array([(0, 0), (2, 0), (2, 1), (0.5, 2)])
+    bar = np.array([(0, 0), (1, 0), (1, 3), (0, 3)])
+
+    def moved(points, angle, scale, shift):
+        turn = np.array([[math.cos(angle), math.sin(angle)], [-math.sin(angle), math.cos(angle)]])
+        return [tuple(map(float, p)) for p in points @ turn * scale + shift]
+
+    schema = "commands string, points array<struct<x:double,y:double>>"
+    library = spark.createDataFrame([("A", "MLLL", moved(shape, 0, 1, 0)), ("I", "MLLL", moved(bar, 0, 1, 0))], "value string, " + schema)
+    rows = [(1, "MLLL", moved(shape, 0.4, 3, 7)), (2, "MLLL", moved(bar, -2.0, 0.5, -3)), (3, "MLLL", moved(bar * [3, 1], 0, 1, 0)), (4, "MLL", moved(bar[:3], 0, 1, 0))]
+    got = {r.id: r for r in glyphs.match_glyphs(spark.createDataFrame(rows, "id long, " + schema), library).collect()}
+    assert [got[i].value for i in (1, 2, 3, 4)] == ["A", "I", "???", "???"]
+    assert got[1].angle == pytest.approx(0.4) and got[2].angle == pytest.approx(-2.0)
+    line = spark.createDataFrame([(1, 0, "R", 0.0, 1.0), (1, 1, "U", 1.1, 2.1), (1, 2, "X", 4.0, 5.0), (1, 3, "???", 5.1, 6.1)], "line int, pos int, value string, low double, high double")
+    assert glyphs.words(line, "line", "pos").first().text == "RU X"
