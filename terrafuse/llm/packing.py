@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,7 +27,7 @@ class Limits:
 
 
 #: Documents are packed in windows of this many rests; what a window leaves open goes into the next one.
-WINDOW = 2048
+WINDOW = 512
 #: Texts are tokenized in slices of about this many bytes.
 SLICE = 4 << 20
 
@@ -167,35 +168,65 @@ class Packer:
 
 
 class WordIds:
-    """Token ids of whole texts by a tokenizer whose tokens never cross white space; each distinct word is encoded once."""
+    """Token ids of whole texts by a tokenizer that folds case and whose tokens never cross white space.
 
-    def __init__(self, path: str, end_id: int, cached: int = 300_000):
+    Each distinct word is encoded once: the new words of a slice go to the tokenizer in long lines, parted by a
+    mark, whose id then tells where each word's ids end. Known words are kept up to a number.
+    """
+
+    MARK = "\x01"
+    LINE = 512
+
+    def __init__(self, path: str, end_id: int, cached: int = 400_000):
         from tokenizers import Tokenizer
 
+        # one core to a task: the tokenizer's own threads would contend with the other tasks'
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.end_id, self.cached, self.known = end_id, cached, {}
+        self.end_id, self.cached = np.array([end_id], np.int32), cached
+        (self.mark_id,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def encode(self, words: list[str]) -> tuple[list[int], np.ndarray]:
+        """All ids of the words, one after the other, and how many each has."""
+        lines = [f" {self.MARK} ".join([*words[i : i + self.LINE], ""]) for i in range(0, len(words), self.LINE)]
+        found = self.tokenizer.encode_batch(lines, add_special_tokens=False)
+        ids = np.concatenate([np.empty(0, np.int32), *(np.array(x.ids, np.int32) for x in found)])
+        at = np.flatnonzero(ids == self.mark_id)
+        return ids[ids != self.mark_id], np.diff(np.r_[-1, at]) - 1
+
+    def learn(self, words: list[str]) -> None:
+        plain = [w for w in words if self.MARK not in w]
+        odd = [w for w in words if self.MARK in w]
+        ids, size = self.encode(plain)
+        alone = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch(odd, add_special_tokens=False)]
+        for w in (*plain, *odd):
+            self.known[w] = len(self.known)
+        self.size = np.concatenate([self.size, size, np.array([len(x) for x in alone], np.int64)])
+        self.flat = np.concatenate([self.flat, ids, *alone])
 
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > self.cached:
-            self.known = {}
+        if len(self.known) + len(distinct) > self.cached:
+            self.forget()
         if new := [w for w in distinct if w not in self.known]:
-            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            self.known.update((w, np.array(x.ids, np.int32)) for w, x in zip(new, found, strict=True))
-        each = [self.known[w] for w in distinct]
-        size = np.array([len(x) for x in each], np.int64)
-        flat = np.concatenate([np.empty(0, np.int32), *each])
-        first = np.cumsum(size) - size
-        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = size[at]
+            self.learn(new)
+        row = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        first = np.cumsum(self.size) - self.size
+        row = row[coded.indices.to_numpy(zero_copy_only=False)]
+        n = self.size[row]
         ends = np.r_[0, np.cumsum(n)]
-        ids = flat[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])] if len(at) else flat[:0]
+        ids = self.flat[np.repeat(first[row] - ends[:-1], n) + np.arange(ends[-1])] if len(row) else self.flat[:0]
         bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            yield np.append(ids[a:b], np.int32(self.end_id))
+            yield np.concatenate([ids[a:b], self.end_id])
 
 
 def slices(batch: pa.RecordBatch, column: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
