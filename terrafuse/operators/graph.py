@@ -62,7 +62,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(ends)
         state = seen
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written down, so that the join deals both of its sides anew and can split a node with very many links
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
