@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from terrafuse.functions import geometry as G
 from terrafuse.functions import text as X
 from terrafuse.operators import buildings, classify, cleaning, glyphs, graph, parcels, rings, spatial, votes
+from terrafuse.plans import jobs
 from terrafuse.sources import fixed_width, json_layers, osm, paths
 from terrafuse.streaming import votes as stream_votes
 
@@ -276,3 +277,40 @@ def test_glyphs(spark):
     assert got[1].angle == pytest.approx(0.4) and got[2].angle == pytest.approx(-2.0)
     line = spark.createDataFrame([(1, 0, "R", 0.0, 1.0), (1, 1, "U", 1.1, 2.1), (1, 2, "X", 4.0, 5.0), (1, 3, "???", 5.1, 6.1)], "line int, pos int, value string, low double, high double")
     assert glyphs.words(line, "line", "pos").first().text == "RU X"
+
+
+def test_cleaning_job(spark):
+    degree = 111194.92664455873
+    # two squares side by side, drawn apart by less than the merging distance, with a needless node on one side
+    left = [(0, 0), (10, 0), (10, 10), (0, 10)]
+    right = [(10.1, 0), (20, 0), (20, 5), (20, 10), (10.1, 10)]
+    rows = [(i, x / degree, y / degree, float(x), float(y)) for i, (x, y) in enumerate([*left, *right])]
+    ways = [(1, p, n) for p, n in enumerate([0, 1, 2, 3, 0])] + [(2, p, n) for p, n in enumerate([4, 5, 6, 7, 8, 4])]
+    nodes, out = jobs.clean(spark.createDataFrame(rows, "id long, lon double, lat double, x double, y double"), spark.createDataFrame(ways, "way_id long, pos int, node_id long"))
+    got = {w: [r.node_id for r in out.where(f"way_id = {w}").orderBy("pos").collect()] for w in (1, 2)}
+    assert len(got[1]) == 5 and len(got[2]) == 5 and 6 not in got[2]
+    assert len(set(got[1]) & set(got[2])) == 2
+    assert nodes.count() == 7
+
+
+def test_address_job(spark):
+    box = "x0 double, y0 double, x1 double, y1 double"
+    plots = spark.createDataFrame([(1, "p1", 0.0, 0.0, 20.0, 20.0), (2, "p2", 20.0, 0.0, 40.0, 20.0)], "id long, fid string, " + box)
+    limits = spark.createDataFrame([(7, 0.2, 0.0, 20.0, 20.0)], "id long, " + box)
+    said = spark.createDataFrame([("p1", ["6 RUE X", "LE BOURG"]), ("p2", ["8 RUE X", "10 RUE Y"])], "fid string, addresses array<string>")
+    drawn = spark.createDataFrame([(1, "9", 5.0, 1.0), (2, "8", 60.0, 10.0), (3, "8", 41.0, 10.0), (4, "12", 5.0, 5.0)], "id long, num string, x double, y double")
+    register = spark.createDataFrame([("Rue X", "c1"), ("Rue Y", "c2"), ("rue y", "c3")], "name string, code string")
+    got = jobs.build_addresses(plots, limits, said, drawn, register, {})
+    rows = {r.address: (r.how, r.x, r.fixme) for r in got.placed.collect()}
+    assert rows == {"6 RUE X": ("drawn", 5.0, ""), "LE BOURG": ("parcel", 10.1, "place name"), "8 RUE X": ("drawn", 41.0, ""), "10 RUE Y": ("parcel", 30.0, "position")}
+    assert {r.street: r.code for r in got.streets.collect()} == {"RUE X": "c1", "RUE Y": None}
+
+
+def test_fusion_job(spark):
+    box = "id long, x0 double, y0 double, x1 double, y1 double"
+    base = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0), (2, 50.0, 0.0, 60.0, 10.0)], box)
+    current = spark.createDataFrame([(5, 0.5, 0.0, 10.5, 10.0)], box)
+    tags = "id long, tags map<string,string>"
+    classes, out = jobs.fuse(base, current, spark.createDataFrame([(1, {"building": "yes"}), (2, {})], tags), spark.createDataFrame([(5, {"name": "A", "building": "no", "source": "s"})], tags))
+    assert {r.id: (r["class"], r.partner) for r in classes.collect()} == {1: ("Fusion", 5), 2: ("OK", None)}
+    assert {r.id: r.tags for r in out.collect()} == {1: {"building": "yes", "name": "A"}, 2: {}}
