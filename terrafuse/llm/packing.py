@@ -185,7 +185,13 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end_id, self.cached = np.array([end_id], np.int32), cached
-        (self.mark_id,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.model = self.tokenizer.model
+        one = lambda c: self.tokenizer.encode(c, add_special_tokens=False).ids
+        (self.mark_id,) = one(self.MARK)
+        self.stops = {c: one(c)[0] for c in ".,"}
+        # a byte's sign is itself if it can be printed, else the next one from 256 on
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.signs = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         self.forget()
 
     def forget(self) -> None:
@@ -200,15 +206,39 @@ class WordIds:
         at = np.flatnonzero(ids == self.mark_id)
         return ids[ids != self.mark_id], np.diff(np.r_[-1, at]) - 1
 
+    def letters(self, word: str) -> list[int] | None:
+        """Ids of a word of plain Latin letters with a final stop or comma at most, straight from the model; None for other words.
+
+        Such letters are a normal form already and one pre-token, so that only case and byte signs are left to map.
+        """
+        tail = self.stops.get(word[-1:])
+        stem = word if tail is None else word[:-1]
+        if not stem.isalpha() or max(stem) >= "\u0250":
+            return None
+        if not stem.isascii():
+            stem = "".join([c.lower() for c in stem])
+            if not stem.isalpha():
+                return None
+            stem = stem.encode().decode("latin-1").translate(self.signs)
+        ids = [t.id for t in self.model.tokenize(stem)]
+        return ids if tail is None else [*ids, tail]
+
     def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if self.MARK not in w]
-        odd = [w for w in words if self.MARK in w]
-        ids, size = self.encode(plain)
+        plain, odd, size, flat = [], [], [], []
+        for w in words:
+            ids = self.letters(w)
+            if ids is None:
+                (odd if self.MARK in w else plain).append(w)
+            else:
+                self.known[w] = len(self.known)
+                size.append(len(ids))
+                flat += ids
+        ids, sizes = self.encode(plain)
         alone = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch(odd, add_special_tokens=False)]
         for w in (*plain, *odd):
             self.known[w] = len(self.known)
-        self.size = np.concatenate([self.size, size, np.array([len(x) for x in alone], np.int64)])
-        self.flat = np.concatenate([self.flat, ids, *alone])
+        self.size = np.concatenate([self.size, np.array(size, np.int64), sizes, np.array([len(x) for x in alone], np.int64)])
+        self.flat = np.concatenate([self.flat, np.array(flat, np.int32), ids, *alone])
 
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
