@@ -13,7 +13,7 @@ from terrafuse.functions import geometry as G
 from terrafuse.functions import text as X
 from terrafuse.operators import buildings, classify, cleaning, glyphs, graph, parcels, rings, spatial, votes
 from terrafuse.plans import jobs
-from terrafuse.sources import fixed_width, json_layers, osm, paths
+from terrafuse.sources import fixed_width, json_layers, osm, paths, pbf
 from terrafuse.streaming import votes as stream_votes
 
 
@@ -314,3 +314,36 @@ def test_fusion_job(spark):
     classes, out = jobs.fuse(base, current, spark.createDataFrame([(1, {"building": "yes"}), (2, {})], tags), spark.createDataFrame([(5, {"name": "A", "building": "no", "source": "s"})], tags))
     assert {r.id: (r["class"], r.partner) for r in classes.collect()} == {1: ("Fusion", 5), 2: ("OK", None)}
     assert {r.id: r.tags for r in out.collect()} == {1: {"building": "yes", "name": "A"}, 2: {}}
+
+
+def test_pbf(spark, tmp_path):
+    def varint(n):
+        out = b""
+        while n > 0x7F:
+            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+        return out + bytes([n])
+
+    zigzag = lambda n: (n << 1) ^ (n >> 63)
+    delta = lambda v: [zigzag(b - a) for a, b in zip([0, *v], v)]
+    number = lambda k, n: varint(k << 3) + varint(n)
+    text = lambda k, b: varint(k << 3 | 2) + varint(len(b)) + b
+    pack = lambda k, v: text(k, b"".join(map(varint, v)))
+    strings = text(1, b"".join(text(1, s) for s in (b"", b"building", b"yes", b"source", b"Cadastre", b"type", b"multipolygon", b"outer")))
+    dense = text(2, pack(1, delta([5, 3, 9])) + pack(8, delta([480000000, -10, 7])) + pack(9, delta([20000000, 0, -1])) + pack(10, [1, 2, 0, 0, 0]))
+    way = text(3, number(1, 70) + pack(2, [1, 3]) + pack(3, [2, 4]) + pack(8, delta([5, 3, 5])))
+    loose = text(3, number(1, 71) + pack(8, delta([9, 3])))
+    relation = text(4, number(1, 80) + pack(2, [5, 1]) + pack(3, [6, 2]) + pack(8, [7]) + pack(9, delta([71])) + pack(10, [1]))
+    block = strings + text(2, dense + way + loose + relation)
+
+    def blob(kind, data):
+        body = number(2, len(data)) + text(3, zlib.compress(data))
+        head = text(1, kind) + number(3, len(body))
+        return len(head).to_bytes(4, "big") + head + body
+
+    (tmp_path / "a.pbf").write_bytes(blob(b"OSMHeader", b"") + blob(b"OSMData", block))
+    items = pbf.read_pbf(spark, str(tmp_path / "a.pbf"))
+    got = {(r.kind, r.id): r for r in items.collect()}
+    assert got["node", 5].lat == pytest.approx(48) and got["node", 5].lon == pytest.approx(2) and got["node", 5].tags == {"building": "yes"}
+    assert got["node", 3].lat == pytest.approx(-1e-6) and got["way", 70].refs == [5, 3, 5] and got["relation", 80].types == ["way"]
+    ways, nodes = pbf.cadastre_buildings(items)
+    assert {r.id for r in ways.collect()} == {70, 71} and {r.id for r in nodes.collect()} == {5, 3, 9}
