@@ -17,8 +17,8 @@ from terrafuse.llm.packing import slices
 SPACE = "▁"
 #: A byte of a character that no piece covers costs this much more than the worst piece.
 BYTE_PENALTY = 10.0
-#: A trie of more nodes is begun anew; longer pre-tokens are scored beside it. Neither changes a count.
-MOST_NODES, LONGEST = 400_000, 256
+#: Longer pre-tokens are scored beside the trie, which does not change a count.
+LONGEST = 256
 
 
 def vocabulary(path: str | None = None) -> dict[str, float]:
@@ -39,98 +39,139 @@ def vocabulary(path: str | None = None) -> dict[str, float]:
     return {model.id_to_piece(i): -math.log((r + 1) * total) for r, i in enumerate(plain)}
 
 
-class Forward:
-    """Best segmentations of pre-tokens: a trie whose nodes keep the forward score and count of their prefix.
+class Trie:
+    """Best segmentations of distinct pre-tokens: a trie built level by level, with the forward score and count of every node.
 
     A node's score is the best over all pieces that end in it, of the score of the node where the
-    piece begins plus the piece's own; of equal scores the one with fewer tokens counts. It is
-    computed once, when the first pre-token with that prefix is inserted. Terminal nodes keep how often
-    their pre-token has come.
+    piece begins plus the piece's own; of equal scores the one with fewer tokens counts. Each node
+    stands for a prefix that some pre-tokens share, and is computed once for all of them.
+    Pieces are found by rolling hashes of a node's last characters and then compared by character.
     """
 
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+    BITS = 22
+
     def __init__(self, pieces: dict[str, float]):
-        self.pieces = pieces
-        self.lengths = sorted({len(p) for p in pieces})
         self.byte = min(pieces.values(), default=0.0) - BYTE_PENALTY
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
-        self.score, self.count, self.terminal = [0.0], [0], [0]
-        self.words: list[list[int]] = []
-
-    def step(self, text: str, scores: list[float], counts: list[int]) -> tuple[float, int]:
-        """Score and count of `text`, given those of all its shorter prefixes (by length)."""
-        n, pieces = len(text), self.pieces
-        size = len(text[-1].encode("utf-8", "surrogatepass"))
-        best, fewest = scores[n - 1] + size * self.byte, counts[n - 1] + size
-        for k in self.lengths:
-            if k > n:
-                break
-            p = pieces.get(text[n - k :])
-            if p is not None:
-                s, c = scores[n - k] + p, counts[n - k] + 1
-                if s > best or (s == best and c < fewest):
-                    best, fewest = s, c
-        return best, fewest
-
-    def tokens(self, word: str, times: int = 1) -> int:
-        """Tokens of a pre-token's best segmentation; `times` is added to its terminal count."""
-        if len(word) > LONGEST:
-            scores, counts = [0.0], [0]
-            for n in range(1, len(word) + 1):
-                low = max(0, n - self.lengths[-1] if self.lengths else n - 1)
-                s, c = self.step(word[low:n], scores[low:], counts[low:])
-                scores.append(s)
-                counts.append(c)
-            return counts[-1]
-        if len(self.score) > MOST_NODES:
-            self.clear()
-        node, child, path = 0, self.child, None
-        for i, ch in enumerate(word):
-            found = child.get((node, ch))
-            if found is None:
-                if path is None:
-                    path = self.path(word[:i])
-                scores, counts = path
-                s, c = self.step(word[: i + 1], scores, counts)
-                found = child[node, ch] = len(self.score)
-                self.score.append(s)
-                self.count.append(c)
-                self.terminal.append(0)
-            if path is not None:
-                path[0].append(self.score[found])
-                path[1].append(self.count[found])
-            node = found
-        self.terminal[node] += times
-        return self.count[node]
-
-    def path(self, prefix: str) -> tuple[list[float], list[int]]:
-        """Scores and counts of all prefixes of an inserted prefix."""
-        node, scores, counts = 0, [0.0], [0]
-        for ch in prefix:
-            node = self.child[node, ch]
-            scores.append(self.score[node])
-            counts.append(self.count[node])
-        return scores, counts
+        self.pieces = pieces
+        self.most = max(map(len, pieces), default=1)
+        names = sorted(pieces)
+        self.size = np.array([len(p) for p in names], np.int64)
+        self.score = np.array([pieces[p] for p in names])
+        #: last character first, zeros beyond the start
+        self.chars = np.zeros((len(names), self.most), np.uint32)
+        for row, p in zip(self.chars, names, strict=True):
+            row[: len(p)] = [ord(c) for c in reversed(p)]
+        hashes = np.array([self._hash(p) for p in names], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.of_hash = hashes[order], order
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("two pieces have one hash")
+        self.maybe = np.zeros(1 << self.BITS, bool)
+        self.maybe[self._bucket(self.hashes)] = True
+
+    def _hash(self, text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * int(self.BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def _bucket(self, h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.BITS)
+
+    def counts(self, words: list[str]) -> np.ndarray:
+        """Tokens of each of the distinct pre-tokens; an empty one has none."""
+        out = np.zeros(len(words), np.int64)
+        order = sorted((i for i, w in enumerate(words) if 0 < len(w) <= LONGEST), key=words.__getitem__)
+        for i, w in enumerate(words):
+            if len(w) > LONGEST:
+                out[i] = self.alone(w)
+        if not order:
+            return out
+        order = np.array(order)
+        text = np.frombuffer("".join([words[i] for i in order]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.array([len(words[i]) for i in order])
+        start = np.cumsum(size) - size
+        # level 0 is the root; of the last levels each node keeps its ancestors, hashes and last characters
+        rows, node = np.arange(len(order)), np.zeros(len(order), np.int64)
+        levels = [(np.zeros(1), np.zeros(1, np.int64))]
+        k = self.most
+        hashes, last, above = np.zeros((1, k + 1), np.uint64), np.zeros((1, k), np.uint32), np.zeros((1, k + 1), np.int64)
+        depth = 0
+        while len(rows):
+            ch = text[start[rows] + depth]
+            depth += 1
+            # words are sorted, so those that share a prefix stand together
+            new = np.r_[True, (node[1:] != node[:-1]) | (ch[1:] != ch[:-1])]
+            parent, c = node[new], ch[new]
+            node = np.cumsum(new) - 1
+            value = c.astype(np.uint64) + np.uint64(1)
+            hashes = np.concatenate([np.zeros((len(c), 1), np.uint64), hashes[parent, :-1] * self.BASE + value[:, None]], axis=1)
+            last = np.concatenate([c[:, None], last[parent, :-1]], axis=1)
+            above = np.concatenate([np.arange(len(c))[:, None], above[parent, :-1]], axis=1)
+            levels.append(self._level(depth, c, hashes, last, above, levels))
+            levels[: max(0, depth - k)] = [None] * max(0, depth - k)
+            ends = size[rows] == depth
+            out[order[rows[ends]]] = levels[-1][1][node[ends]]
+            rows, node = rows[~ends], node[~ends]
+        return out
+
+    def _level(self, depth: int, c: np.ndarray, hashes: np.ndarray, last: np.ndarray, above: np.ndarray, levels: list) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and counts of one level's nodes."""
+        width = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+        score, count = levels[-1][0][above[:, 1]] + width * self.byte, levels[-1][1][above[:, 1]] + width
+        most = min(depth, self.most)
+        i, k = np.nonzero(self.maybe[self._bucket(hashes[:, 1 : most + 1])])
+        h = hashes[i, k + 1]
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        piece = self.of_hash[at] if len(self.hashes) else at
+        sure = (self.hashes[at] == h) & (self.size[piece] == k + 1) if len(self.hashes) else np.zeros(len(i), bool)
+        i, k, piece = i[sure], k[sure], piece[sure]
+        inside = np.arange(self.most) <= k[:, None]
+        same = ((last[i] == self.chars[piece]) | ~inside).all(axis=1)
+        i, k, piece = i[same], k[same] + 1, piece[same]
+        for n in range(1, most + 1):  # a node has one piece of each length at most
+            own = k == n
+            if own.any():
+                j, p = i[own], piece[own]
+                from_score, from_count = levels[depth - n]
+                s, t = from_score[above[j, n]] + self.score[p], from_count[above[j, n]] + 1
+                better = (s > score[j]) | ((s == score[j]) & (t < count[j]))
+                score[j[better]], count[j[better]] = s[better], t[better]
+        return score, count
+
+    def alone(self, word: str) -> int:
+        """Tokens of one pre-token, without the trie."""
+        scores, counts = [0.0], [0]
+        for n in range(1, len(word) + 1):
+            size = len(word[n - 1].encode("utf-8", "surrogatepass"))
+            best, fewest = scores[n - 1] + size * self.byte, counts[n - 1] + size
+            for k in range(1, min(n, self.most) + 1):
+                p = self.pieces.get(word[n - k : n])
+                if p is not None:
+                    s, t = scores[n - k] + p, counts[n - k] + 1
+                    if s > best or (s == best and t < fewest):
+                        best, fewest = s, t
+            scores.append(best)
+            counts.append(fewest)
+        return counts[-1]
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pieces: dict[str, float] | None = None, path: str | None = None) -> DataFrame:
     """doc_id, n_words (pre-tokens, parted at ASCII white space) and n_tokens of every whole text.
 
-    Each task counts its own documents: the distinct pre-tokens of a slice are inserted once, with how
-    often they come. Null and blank texts have no tokens. Repeated rows are counted as often as they come;
+    Each task counts its own documents: the distinct pre-tokens of a slice are inserted once, and
+    the counts at their terminal nodes are summed up for the texts. Null and blank texts have no tokens. Repeated rows are counted as often as they come;
     other columns are not read. `path` is a sentencepiece model that every executor can open (None: the installed one).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forward = Forward(pieces if pieces is not None else vocabulary(path))
+        trie = Trie(pieces if pieces is not None else vocabulary(path))
         for batch in batches:
             for part in slices(batch, "text"):
                 words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(part.column("text").fill_null("")))
                 coded = words.flatten().dictionary_encode()
-                times = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary)) if len(coded) else np.empty(0, int)
-                each = np.array([forward.tokens(SPACE + w, int(n)) if w else 0 for w, n in zip(coded.dictionary.to_pylist(), times, strict=True)], np.int64)
+                each = trie.counts([SPACE + w if w else "" for w in coded.dictionary.to_pylist()])
                 real = np.array([bool(w) for w in coded.dictionary.to_pylist()], np.int64)
                 at = coded.indices.to_numpy(zero_copy_only=False)
                 bounds = words.offsets.to_numpy() - words.offsets[0].as_py()

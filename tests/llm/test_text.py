@@ -111,17 +111,16 @@ def brute_tokens(word, pieces):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("abcéz▁", min_size=1, max_size=12), min_size=1, max_size=12))
 def test_trie_counts_equal_brute_force(words):
-    forward = tokencount.Forward(PIECES)
-    for w in words * 2:
-        assert forward.tokens("▁" + w) == brute_tokens("▁" + w, PIECES)
+    words = sorted({"▁" + w for w in words} | {""}, key=hash)
+    assert tokencount.Trie(PIECES).counts(words).tolist() == [brute_tokens(w, PIECES) for w in words]
 
 
-def test_long_and_many_pretokens(monkeypatch):
-    word = "▁" + "abcc" * 200
-    assert tokencount.Forward(PIECES).tokens(word) == brute_tokens(word, PIECES)
-    monkeypatch.setattr(tokencount, "MOST_NODES", 5)
-    forward = tokencount.Forward(PIECES)
-    assert [forward.tokens("▁" + w) for w in ("abc", "cab", "bcbc", "abc")] == [brute_tokens("▁" + w, PIECES) for w in ("abc", "cab", "bcbc", "abc")]
+def test_long_pretokens_and_odd_vocabularies(monkeypatch):
+    words = ["▁" + "abcc" * 200, "▁abc", "▁\U0001f600é"]
+    assert tokencount.Trie(PIECES).counts(words).tolist() == [brute_tokens(w, PIECES) for w in words]
+    assert tokencount.Trie({}).counts(["ab", "é"]).tolist() == [2, 2]
+    monkeypatch.setattr(tokencount, "LONGEST", 3)
+    assert tokencount.Trie(PIECES).counts(words).tolist() == [brute_tokens(w, PIECES) for w in words]
 
 
 def test_token_counts_of_documents(spark):
