@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
+import ctypes
+import gc
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrafuse.functions.core import let
+from terrafuse.plans.cut import cut
+
+__all__ = ["SPACES", "SPACE_CLASS", "cut", "fresh", "give_back", "let", "small_batches", "table", "words_of"]
+
 #: Characters between words: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -17,20 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df in the shared folder of spark.checkpoint.dir; a local one only where that is unset."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrafuse-"))
-    return df.checkpoint(eager=True)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value evaluated once per row instead of at each use."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words_of(text: Column) -> Column:
     """Array of the words [^\\x20\\x09-\\x0D]+; empty for null or blank text."""
     stripped = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
@@ -43,3 +35,21 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, in whose session batches for Python hold at most so many rows from now on: whole texts take memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: a Python worker that is used again would keep the task's peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -1,42 +1,5 @@
-"""Distributed connected components by alternating large-star and small-star steps."""
+"""Connected components: the library's own."""
 
-from __future__ import annotations
+from terrafuse.operators.graph import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from terrafuse.llm.common import cut
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges (u, v); component is the smallest node reachable.
-
-    u and v may be of any type that Spark orders. Null ends and self links make no link. An edge list
-    without links gives no rows. Every round is checkpointed, so lineage stays short and a lost
-    executor costs one round at most. Both steps use grouped minima and joins on one key, which
-    adaptive execution can split, so a node with very many links does not end up in one task.
-    """
-    now = cut(edges.select("u", "v").where("u <> v").distinct())
-    state = None
-    for _ in range(max_rounds):
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state or not seen[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        state = seen
-        now = cut(_small_star(_large_star(now)))
-    raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
+__all__ = ["connected_components"]

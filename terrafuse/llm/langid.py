@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafuse.llm.common import fresh, table
+from terrafuse.llm.common import fresh, give_back, small_batches, table
 from terrafuse.llm.packing import slices
 
 UNDETERMINED = "und"
@@ -165,7 +165,9 @@ def fit(
     texts: dict[str, list] = {}
     for r in drawn.select("lang", "hashed", "text").where("text is not null").collect():
         texts.setdefault(r.lang, []).append((r.hashed, r.text))
-    return Ppm({k: [t.encode() for _, t in sorted(v)[:each]] for k, v in texts.items()}, order)
+    model = Ppm({k: [t.encode() for _, t in sorted(v)[:each]] for k, v in texts.items()}, order)
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Ppm, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,11 +184,12 @@ def identify(docs: DataFrame, model: Ppm, id_col: str = "doc_id", text_col: str
                 best, score = model.predict(part.column("text"), part.column("letters").to_numpy(zero_copy_only=False))
                 named = names.take(pa.array(np.where(best < 0, len(model.languages), best)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), named, pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+        give_back()
 
     text = docs[text_col].cast("string")
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), letters.alias("letters"), held_out(docs[id_col]).alias("held_out"))
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double")
+    return small_batches(rows).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Ppm, least_score: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -203,8 +206,9 @@ def keep_identified(docs: DataFrame, model: Ppm, least_score: float = 0.5, text_
                 lang = part.schema.get_field_index(lang_col)
                 out = part.set_column(lang, part.schema.field(lang_col), pc.coalesce(part.column(lang_col), named.cast(part.schema.field(lang_col).type)))
                 yield out.drop_columns([letters]).filter(kept)
+        give_back()
 
-    return docs.withColumn(letters, F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
+    return small_batches(docs).withColumn(letters, F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafuse.llm.common import table
+from terrafuse.llm.common import give_back, small_batches, table
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,7 @@ class Limits:
 #: Documents are packed in windows of this many rests; what a window leaves open goes into the next one.
 WINDOW = 512
 #: Texts are tokenized in slices of about this many bytes.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def best_fit(demand: np.ndarray, room: np.ndarray, limits: np.ndarray) -> int:
@@ -177,7 +177,7 @@ class WordIds:
     MARK = "\x01"
     LINE = 512
 
-    def __init__(self, path: str, end_id: int, cached: int = 400_000):
+    def __init__(self, path: str, end_id: int, cached: int = 200_000):
         from tokenizers import Tokenizer
 
         # one core to a task: the tokenizer's own threads would contend with the other tasks'
@@ -306,10 +306,12 @@ def pack_documents(
         if arrow_type is not None:
             packer.pack(last=True)
             yield packer.batch(arrow_type)
+        del encode, packer
+        give_back()
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return rows.mapInArrow(run, schema + ", ids array<int>" * with_ids)
+    return small_batches(rows).mapInArrow(run, schema + ", ids array<int>" * with_ids)
 
 
 def pack_examples(

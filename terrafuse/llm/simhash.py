@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafuse.llm.common import cut, table
+from terrafuse.llm.common import cut, give_back, small_batches, table
 from terrafuse.llm.graph import connected_components
 
 SHINGLE = 4
@@ -63,6 +63,7 @@ def _fingerprints(shingle: int):
                 (_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in texts), np.uint64, len(texts)
             )
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+        give_back()
 
     return run
 
@@ -70,7 +71,7 @@ def _fingerprints(shingle: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every document; fp holds the 64 bits as a signed long."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return small_batches(rows).mapInArrow(_fingerprints(shingle), f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
 class Ring:

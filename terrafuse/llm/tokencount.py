@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafuse.llm.common import table
+from terrafuse.llm.common import give_back, small_batches, table
 from terrafuse.llm.packing import slices
 
 #: Stands for the white space before a pre-token.
@@ -178,9 +178,10 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 sums = [np.r_[0, np.cumsum(x[at] if len(at) else np.empty(0, np.int64))] for x in (real, each)]
                 counts = [pa.array((s[bounds[1:]] - s[bounds[:-1]]).astype(np.int64)) for s in sums]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts], ["doc_id", "n_words", "n_tokens"])
+        give_back()
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n_words long, n_tokens long")
+    return small_batches(rows).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n_words long, n_tokens long")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
