@@ -109,6 +109,18 @@ def test_random_strings_are_found_and_ordinary_ones_are_not(spark):
     assert not any(got[i] for i, w in enumerate(words) if len(set(w)) < 8)
 
 
+def test_random_strings_after_an_equals_sign(spark):
+    words = ["Internationalisierungs1", "zzzzzzzzzzzzzzzzzzzzzzzz1", "Xyzxyzxyzxyzxyzxyzxyzxyz1", "Xxxxxxxxxxxxxxxxxxxxxxxx9"] * 30
+    frames = ("auth={}", "see https://a.example/x?v=1&sig={}&u=2", "AWS_SECRET_ACCESS_KEY={} # key", "sig={}==", "a == {}", "x=={}")
+    keys = [next(k for i in range(99) if (brute_battery(k := token(1000 * n + i, B64, 40)) or 0) > 0.3) for n in range(len(frames))]
+    texts = [f"see {w} now" for w in words] + [f.format(k) for f, k in zip(frames, keys)]
+    got = {r.doc_id: r.spans for r in secrets.scan(documents(spark, texts)).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(documents(spark, texts)).collect()}
+    for n, k in enumerate(keys, len(words)):
+        at = texts[n].index(k)
+        assert got[n] == f"random:{at}:{at + len(k) + 2 * texts[n].endswith('==')}" and k not in clean[n]
+
+
 def test_redaction(spark):
     df = documents(spark)
     got = {r.doc_id: r for r in secrets.redact(df).collect()}
