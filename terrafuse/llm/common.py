@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafuse.functions.core import let
 from terrafuse.plans.cut import cut
 
-__all__ = ["SPACES", "SPACE_CLASS", "cut", "fresh", "give_back", "let", "small_batches", "table", "words_of"]
+__all__ = ["SPACES", "SPACE_CLASS", "cut", "fresh", "give_back", "hot_join", "let", "slices", "table", "words_of"]
 
 #: Characters between words: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Texts are worked on in slices of about this many bytes.
+SLICE = 2 << 20
+#: A key of more than one in so many rows is hot.
+HOT = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +44,27 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, in whose session batches for Python hold at most so many rows from now on: whole texts take memory on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, str(rows))
-    return df
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have about `size` bytes together: what a worker holds does not depend on the rows of a batch."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = int(total[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(total, done + size, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def hot_join(rows: DataFrame, side: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows joined with side on key, where side has one row for each key and its column n counts the rows of that key.
+
+    Keys of more than 1 / HOT of all rows are at most HOT, so their side is broadcast; what is left is dealt out by
+    key, none of which is large. Both tables are read twice and should be written down. Null keys match nothing.
+    """
+    total = side.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT > total
+    large, small = side.where(hot).drop(n), side.where(~hot).drop(n)
+    return rows.join(F.broadcast(large), key).unionByName(rows.join(small, key))
 
 
 def give_back() -> None:

@@ -10,8 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafuse.llm.common import fresh, give_back, small_batches, table
-from terrafuse.llm.packing import slices
+from terrafuse.llm.common import fresh, give_back, slices, table
 
 UNDETERMINED = "und"
 ORDER = 4
@@ -189,7 +188,7 @@ def identify(docs: DataFrame, model: Ppm, id_col: str = "doc_id", text_col: str
     text = docs[text_col].cast("string")
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), letters.alias("letters"), held_out(docs[id_col]).alias("held_out"))
-    return small_batches(rows).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Ppm, least_score: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -208,7 +207,7 @@ def keep_identified(docs: DataFrame, model: Ppm, least_score: float = 0.5, text_
                 yield out.drop_columns([letters]).filter(kept)
         give_back()
 
-    return small_batches(docs).withColumn(letters, F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
+    return docs.withColumn(letters, F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,11 @@ from terrafuse.llm.common import cut, table
 
 K = 10
 EVERY = 100
-#: The index is fitted on a sample of at most this many vectors; every vector is indexed.
-SAMPLE, LISTS, ROUNDS = 16384, 512, 8
+#: The index is fitted on a sample of PER_LIST vectors a list, within these bounds; every vector is indexed. Lists grow with
+#: the root of the table, up to MOST_SAMPLE / PER_LIST of them.
+LEAST_SAMPLE, MOST_SAMPLE, PER_LIST, ROUNDS = 16384, 131072, 32, 8
+#: Of the sample so many vectors bound each query's search.
+BOUNDING = 16384
 #: Lists to probe are set so that the sample's own neighbours are found at this rate.
 RECALL = 0.98
 #: Vectors and queries of a list are dealt in blocks of about so many.
@@ -24,6 +27,7 @@ BLOCK = 4096
 #: Columns that one step of the scan adds, and the width of its hypothesis test.
 COLUMNS, EPSILON = 16, 2.4
 SEED = 17
+OUT = "query_id long, rank int, vec_id long, score double"
 
 
 def usable(vector: Column) -> Column:
@@ -68,21 +72,26 @@ class Index:
         return order, probes, np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1]) * (1 + 1e-9) + 1e-6
 
 
+def lists_for(total: int) -> int:
+    return int(min(MOST_SAMPLE // PER_LIST, max(1, math.sqrt(total) / 2)))
+
+
 def fit_index(ids: np.ndarray, x: np.ndarray, total: int, k: int = K, recall: float = RECALL) -> Index:
     """An index from a sample of `total` vectors: k-means lists, and probes set by the recall on the sample itself."""
     rng = np.random.default_rng(SEED)
     dim = x.shape[1]
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    n = int(min(LISTS, max(1, math.sqrt(total) / 2), max(1, len(x) // 32)))
+    n = int(min(lists_for(total), max(1, len(x) // PER_LIST)))
     centroids = x[rng.choice(len(x), n, replace=False)] if len(x) else np.zeros((1, dim))
     for _ in range(ROUNDS if n > 1 else 0):
-        own = ((centroids**2).sum(axis=1) / 2 - x @ centroids.T).argmin(axis=1)
+        half = (centroids**2).sum(axis=1) / 2
+        own = np.concatenate([(half - x[at : at + 4096] @ centroids.T).argmin(axis=1) for at in range(0, len(x), 4096)])
         sums, size = np.zeros_like(centroids), np.bincount(own, minlength=n)
         np.add.at(sums, own, x)
         centroids = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centroids)
     index = Index(rotation, centroids, n, ids, x)
     if n > 1:
-        own = index.lists(x, 1)[:, 0]
+        own = np.concatenate([index.lists(x[at : at + 4096], 1)[:, 0] for at in range(0, len(x), 4096)])
         asked = rng.choice(len(x), min(256, len(x)), replace=False)
         d = (x**2).sum(axis=1) - 2 * x[asked] @ x.T
         d[np.arange(len(asked)), asked] = np.inf
@@ -90,6 +99,8 @@ def fit_index(ids: np.ndarray, x: np.ndarray, total: int, k: int = K, recall: fl
         place = np.argsort(index.lists(x[asked], n), axis=1)
         needed = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
         index.probes = min(n, int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))]) + 1)
+        # rows are in a random order, so the first ones are a sample themselves
+        index.sample_ids, index.sample = ids[:BOUNDING], x[:BOUNDING]
     return index
 
 
@@ -134,28 +145,35 @@ def nearest(
     """query_id, rank, vec_id, score (Euclidean) of the k nearest found of every row whose id is divisible by `every`.
 
     Rows take no part if their id or vector is null, the vector is zero or has null or non-finite
-    components, or its size is not the table's most frequent one. Rows with the query's own id are not its
-    candidates. Equal distances go to the smaller id. Lists of any size are dealt in blocks of bounded
-    size, and so are the queries of a list, so neither a hot list nor a vector repeated very often ends up in one task.
+    components. Vectors are compared with those of their own size. Rows with the query's own id are not its
+    candidates; an id that repeats is one candidate, at its smallest distance. Equal distances go to the smaller id.
+    Lists of any size are dealt in blocks of bounded size, and so are the queries of a list, so neither a hot list nor a
+    vector repeated very often ends up in one task. A query whose lists gave fewer than k is compared with every
+    vector, so that only a table with fewer candidates gives fewer rows.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    out = "query_id long, rank int, vec_id long, score double"
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if sizes is None:
-        return spark.createDataFrame([], out)
-    dim, total = sizes["dim"], sizes["count"]
-    rows = rows.where(F.size("v") == dim)
-    ring = 1 << 30
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(ring)) < int(ring * min(1.0, 0.95 * SAMPLE / total)) + 1)
-    got = drawn.toArrow()
-    index = fit_index(*_bounded(got["vec_id"].to_numpy(), matrix(got["v"], dim)), total, k)
+    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect()  # a row for each size that occurs
+    out = None
+    for r in sizes:
+        found = _nearest(rows.where(F.size("v") == r["dim"]), r["dim"], r["count"], every, k, block)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else vectors.sparkSession.createDataFrame([], OUT)
+
+
+def _nearest(rows: DataFrame, dim: int, total: int, every: int, k: int, block: int) -> DataFrame:
+    """nearest() among vectors of one size."""
+    ring, wanted = 1 << 30, min(MOST_SAMPLE, max(LEAST_SAMPLE, lists_for(total) * PER_LIST))
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(ring)) < int(ring * min(1.0, 0.95 * wanted / total)) + 1)
+    got = drawn.groupBy("vec_id").agg(F.min("v").alias("v")).toArrow()  # an id counts once, however often it is there
+    index = fit_index(*_bounded(got["vec_id"].to_numpy(), matrix(got["v"], dim), wanted), total, k)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = index.lists(matrix(b.column("v"), dim), 1)[:, 0] if b.num_rows else np.empty(0, int)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(own, pa.int32())], ["vec_id", "v", "list"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                own = index.lists(matrix(b.column("v"), dim), 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(own, pa.int32())], ["vec_id", "v", "list"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,55 +191,81 @@ def nearest(
                 )
 
     placed = rows.mapInArrow(assign, "vec_id long, v array<double>, list int")
-    asked = cut(rows.where(F.col("vec_id") % every == 0).mapInArrow(probe, "query_id long, q array<double>, list int, bound double"))
-    # the lists are at most LISTS, so these counts are small at any size
+    # at most MOST_SAMPLE / PER_LIST rows
     n_vectors = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}
+    queries = rows.where(F.col("vec_id") % every == 0)
+    asked = cut(queries.mapInArrow(probe, "query_id long, q array<double>, list int, bound double"))
+    first = cut(_ranked(_search(placed, asked, index, n_vectors, dim, k, block), k))
+    full = first.groupBy("query_id").count().where(F.col("count") >= k)
+    short = cut(queries.join(full, F.col("vec_id") == F.col("query_id"), "left_anti").distinct())
+    if short.isEmpty():
+        return first
+    lists = F.explode(F.array(*[F.lit(x).cast("int") for x in sorted(n_vectors)]))
+    again = cut(short.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), lists.alias("list"), F.lit(float("inf")).alias("bound")))
+    more = _ranked(_search(placed, again, index, n_vectors, dim, k, block), k)
+    return first.join(full, "query_id", "left_semi").unionByName(more)
+
+
+def _search(placed: DataFrame, asked: DataFrame, index: Index, n_vectors: dict[int, int], dim: int, k: int, block: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each block that a query meets."""
     n_queries = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
-    blocks = spark.createDataFrame(
+    blocks = placed.sparkSession.createDataFrame(
         [(x, math.ceil(n / block), max(1, math.ceil(n_queries.get(x, 0) / block))) for x, n in n_vectors.items()], "list int, v_blocks int, q_blocks int"
     )
 
     def dealt(df: DataFrame, id_: str, own: str, other: str) -> DataFrame:
-        df = df.join(F.broadcast(blocks), "list").withColumn(own, F.pmod(F.xxhash64(id_, F.lit(3)), F.col(own)).cast("int"))
+        # by id and vector, so that an id that holds a large part of the table is spread as well
+        place = F.pmod(F.xxhash64(*id_, F.lit(3)), F.col(own)).cast("int")
+        df = df.join(F.broadcast(blocks), "list").withColumn(own, place)  # one row a list
         return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
 
+    def best(ids: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k nearest different ids of each query row of one block."""
+        order = np.lexsort((d, ids[j], i))
+        i, j, d = i[order], j[order], d[order]
+        new = np.r_[True, (i[1:] != i[:-1]) | (ids[j][1:] != ids[j][:-1])][: len(i)]
+        i, j, d = i[new], j[new], d[new]
+        order = np.lexsort((ids[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        start = np.r_[True, i[1:] != i[:-1]][: len(i)]
+        rank = np.arange(len(i)) - np.maximum.accumulate(np.where(start, np.arange(len(i)), 0)) if len(i) else np.empty(0, int)
+        return i[rank < k], j[rank < k], d[rank < k]
+
     def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, nv = left["vec_id"].to_numpy(), left.num_rows
         v = matrix(left["v"], dim) if nv else np.empty((0, dim))
         turned = v @ index.rotation
         q_ids, bound = right["query_id"].to_numpy(), right["bound"].to_numpy()
         q = matrix(right["q"], dim) if right.num_rows else np.empty((0, dim))
-        out_q, out_v, out_d = [], [], []
-        for at in range(0, len(q) if nv else 0, 128):
-            part = q[at : at + 128]
-            i, j = scan(part @ index.rotation, bound[at : at + 128], turned)
+        out = []
+        step = 8 if np.isinf(bound).any() else 64  # without a bound every pair is kept to the end
+        for at in range(0, len(q) if nv else 0, step):
+            part = q[at : at + step]
+            i, j = scan(part @ index.rotation, bound[at : at + step], turned)
             other = q_ids[at + i] != ids[j]
             i, j = i[other], j[other]
-            d = np.sqrt(((part[i] - v[j]) ** 2).sum(axis=1))
-            order = np.lexsort((ids[j], d, i))
-            i, j, d = i[order], j[order], d[order]
-            first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.empty(0, bool)
-            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0)) if len(i) else np.empty(0, int)
-            top = rank < k
-            out_q.append(q_ids[at + i[top]])
-            out_v.append(ids[j[top]])
-            out_d.append(d[top])
-        cat = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts]).astype(kind)
-        return pa.table({"query_id": cat(out_q, np.int64), "vec_id": cat(out_v, np.int64), "score": cat(out_d, np.float64)})
-
-    left = dealt(placed, "vec_id", "v_blocks", "q_blocks").groupBy("list", "v_blocks", "q_blocks")
-    right = dealt(asked, "query_id", "q_blocks", "v_blocks").groupBy("list", "v_blocks", "q_blocks")
-    near = left.cogroup(right).applyInArrow(search, "query_id long, vec_id long, score double")
+            i, j, d = best(ids, i, j, np.sqrt(((part[i] - v[j]) ** 2).sum(axis=1)))
+            out.append((q_ids[at + i], ids[j], d))
+        cat = lambda n, kind: np.concatenate([np.empty(0, kind), *(x[n] for x in out)]).astype(kind)
+        return pa.table({"query_id": cat(0, np.int64), "vec_id": cat(1, np.int64), "score": cat(2, np.float64)})
+
+    left = dealt(placed, ["vec_id", "v"], "v_blocks", "q_blocks").groupBy("list", "v_blocks", "q_blocks")
+    right = dealt(asked, ["query_id"], "q_blocks", "v_blocks").groupBy("list", "v_blocks", "q_blocks")
+    return left.cogroup(right).applyInArrow(search, "query_id long, vec_id long, score double")
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = near.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    single = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = single.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _bounded(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """At most SAMPLE rows, in the order of their ids: the fit does not depend on how the table is split."""
-    order = np.lexsort((*x.T[::-1], ids)) if len(ids) else np.empty(0, int)
-    step = np.random.default_rng(SEED).permutation(len(order))[:SAMPLE]
-    return ids[order][np.sort(step)], x[order][np.sort(step)]
+def _bounded(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most so many rows in a random order that does not depend on how the table is split."""
+    order = np.argsort(ids)
+    step = np.random.default_rng(SEED).permutation(len(order))[:most]
+    return ids[order][step], x[order][step]
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

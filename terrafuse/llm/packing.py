@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafuse.llm.common import give_back, small_batches, table
+from terrafuse.llm.common import give_back, slices, table
 
 
 @dataclass(frozen=True)
@@ -28,8 +28,6 @@ class Limits:
 
 #: Documents are packed in windows of this many rests; what a window leaves open goes into the next one.
 WINDOW = 512
-#: Texts are tokenized in slices of about this many bytes.
-SLICE = 2 << 20
 
 
 def best_fit(demand: np.ndarray, room: np.ndarray, limits: np.ndarray) -> int:
@@ -259,17 +257,6 @@ class WordIds:
             yield np.concatenate([ids[a:b], self.end_id])
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts have about `size` bytes together."""
-    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        done = int(total[at - 1]) if at else 0
-        end = max(at + 1, int(np.searchsorted(total, done + size, side="right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -311,7 +298,7 @@ def pack_documents(
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return small_batches(rows).mapInArrow(run, schema + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(run, schema + ", ids array<int>" * with_ids)
 
 
 def pack_examples(

@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafuse.llm.common import cut, give_back, small_batches, table
-from terrafuse.llm.graph import connected_components
+from terrafuse.llm.common import cut, give_back, hot_join, slices, table
+from terrafuse.operators.graph import connected_components
 
 SHINGLE = 4
 SEED = 42
@@ -22,7 +22,9 @@ BITS = 64
 #: chains of four give 20 keys of about 19 bits; chains of seven give 90 keys of about 32 bits, for
 #: corpora of more than some hundred million distinct fingerprints. Both find every link.
 SEGMENTS = 10
-CHAIN = 4
+CHAIN, LONG_CHAIN = 4, 7
+#: From so many distinct fingerprints on the longer chain is taken, unless one is asked for: shorter keys would be crowded.
+CROWDED = 1 << 26
 #: Fingerprints that share a key are compared in blocks of this many; larger groups are cut in
 #: blocks, and every pair of blocks is a group of its own.
 BLOCK = 2048
@@ -58,11 +60,10 @@ def _fingerprint(raw: bytes, shingle: int) -> np.uint64:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            out = np.fromiter(
-                (_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in texts), np.uint64, len(texts)
-            )
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            for part in slices(batch, "text"):
+                texts = part.column("text")
+                out = np.fromiter((_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in texts), np.uint64, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
         give_back()
 
     return run
@@ -71,7 +72,7 @@ def _fingerprints(shingle: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every document; fp holds the 64 bits as a signed long."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(_fingerprints(shingle), f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return rows.mapInArrow(_fingerprints(shingle), f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
 class Ring:
@@ -237,23 +238,26 @@ def near_duplicates(
     shingle: int = SHINGLE,
     distance: int = DISTANCE,
     segments: int = SEGMENTS,
-    chain: int = CHAIN,
+    chain: int | None = None,
 ) -> DataFrame:
     """Every document's fingerprint and the smallest id of its group of near copies.
 
     Groups are the components of fingerprints that differ in at most `distance` bits. Null and blank
     texts have fingerprint 0 and are linked like any other. Documents of the same fingerprint are
     one node, so exact copies cost no pairs. Repeated rows come back repeated; a null id never names
-    a group unless the group has no other. Other columns are not read.
+    a group unless the group has no other. Other columns are not read. The chain (None: chosen by the number of
+    distinct fingerprints) sets the length of the join keys and never the links.
     """
-    ring = Ring(distance, segments, chain)
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
+    ring = Ring(distance, segments, chain or (CHAIN if nodes.count() < CROWDED else LONG_CHAIN))
     parts = connected_components(close_links(nodes, ring))
-    labels = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("part"))
-    firsts = labels.groupBy("part").agg(F.min("first_id").alias("component_id"))
-    named = labels.join(firsts, "part").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "first_id", "copies", F.coalesce("component", "fp").alias("part"))
+    labels = cut(labels)
+    # one component may hold most fingerprints, and one fingerprint most documents
+    firsts = cut(labels.groupBy("part").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")))
+    named = cut(hot_join(labels.drop("first_id"), firsts, "part").select("fp", "copies", "component_id"))
+    return hot_join(fps, named, "fp", "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

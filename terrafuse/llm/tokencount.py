@@ -10,8 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafuse.llm.common import give_back, small_batches, table
-from terrafuse.llm.packing import slices
+from terrafuse.llm.common import give_back, slices, table
 
 #: Stands for the white space before a pre-token.
 SPACE = "▁"
@@ -181,7 +180,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         give_back()
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n_words long, n_tokens long")
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n_words long, n_tokens long")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

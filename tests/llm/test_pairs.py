@@ -8,7 +8,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from terrafuse.llm import graph, neighbours, simhash
+from terrafuse.llm import neighbours, simhash
+from terrafuse.operators import graph
 
 
 def brute_fingerprint(text):
@@ -142,14 +143,37 @@ def test_neighbours_recall(spark, n, clusters):
 
 def test_neighbours_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0, 1.0]), (7, [1.0, 1.0]), (None, [1.0, 0.0]), (8, [1.0, -1.0])]
+    rows = [(0, [1.0, 0.0]), (100, [1.0, 1.0, 1.0]), (1, [0.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0, 1.0]), (7, [1.0, 1.0]), (None, [1.0, 0.0]), (8, [1.0, -1.0])]
     df = spark.createDataFrame([(i, v, 0.5) for i, v in rows], "vec_id long, embedding array<double>, score double")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(df).orderBy("rank").collect()]
-    assert got == [(0, 1, 7, 1.0), (0, 2, 8, 1.0)]
+    assert sorted(got) == [(0, 1, 7, 1.0), (0, 2, 8, 1.0), (100, 1, 6, 0.0)]
     assert neighbours.nearest(df.where("false")).count() == 0
     assert neighbours.nearest(df.where(F.col("vec_id") == 0)).count() == 0
 
 
+def test_repeated_rows_and_crowded_queries_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 16))
+    ids = np.arange(60)
+    x[1] = x[0] + 1e-3
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] + [(1, x[1].tolist())] * 400 + [(0, x[0].tolist())] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (16, 4096):
+        got = [(r.vec_id, r.score) for r in neighbours.nearest(df, block=block).orderBy("rank").collect()]
+        assert got == exact(ids, x, 0)
+
+
+def test_a_query_far_from_all_lists_is_filled_up(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((6000, 8))
+    x[0] = 100
+    # the query's own id holds most of its list
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(0, (x[0] + rng.standard_normal(8) * 1e-6).tolist()) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df).groupBy("query_id").count().collect()
+    assert len(got) == 60 and {r["count"] for r in got} == {10}
+
+
 def test_scan_abandons_far_pairs_and_keeps_near_ones():
     rng = np.random.default_rng(0)
     q, v = rng.standard_normal((20, 64)), rng.standard_normal((500, 64))
