@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafuse.llm.common import fresh, let, table
+from terrafuse.llm.common import cut, fresh, let, table
 
 # The patterns and least lengths of the base kinds.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -30,10 +30,13 @@ ENCODINGS = (
 CELLS = 5
 #: Length classes of the false-discovery control, by their least length.
 LENGTHS = (20, 32, 64)
-RATE = 0.1
-#: p-values are counted in bins of this many to a power of ten, down to 10 ** -FLOOR.
-BINS, FLOOR = 100, 30
+#: Largest share of ordinary strings among those reported, and the p-value below which no string is reported.
+RATE, LEAST_P = 0.1, 0.01
+#: p-values count in steps of one in so many.
+STEPS = 1000
 MARK = "[SECRET]"
+#: A text with spans is redacted in pieces of so many code points.
+PIECE = 4096
 
 
 def running_total(values: Column, block: int = 64) -> Column:
@@ -88,42 +91,48 @@ def battery(body: Column) -> Column:
     """p-value of "these are random draws from the alphabet of the inferred encoding"; null if no encoding fits.
 
     Fisher's sum of three p-values: chi-squared of five alphabet cells, runs above and below the
-    middle of the alphabet, and the lag-1 serial correlation.
+    middle of the alphabet, and the lag-1 serial correlation. All come from sums of one pass over the characters.
     """
+    sums = ("n", "up", "runs", "total", "squares", "lag", *(f"c{b}" for b in range(1, CELLS)))
 
     def of_encoding(s: Column, alphabet: str) -> Column:
         size = len(alphabet)
-        place = lambda c: F.position(c, F.lit(alphabet)) - 1
-        digits = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: place(F.substring(s, i, F.lit(1))))
-        cells = [sum(1 for i in range(size) if i * CELLS // size == b) / size for b in range(CELLS)]
-
-        def of(v: Column) -> Column:
-            n = F.size(v).cast("double")
-            count = lambda b: F.size(F.filter(v, lambda x: F.floor(x * CELLS / size) == b))
-            chi = sum((count(b) - n * p) * (count(b) - n * p) / (n * p) for b, p in enumerate(cells))
+        digits = F.transform(F.slice(F.split(s, ""), F.lit(1), F.length(s)), lambda c: F.position(c, F.lit(alphabet)) - 1)
+        edges = [-(-b * size // CELLS) for b in range(CELLS + 1)]
+        start = F.struct(*[F.lit(0).cast("long").alias(x) for x in sums], F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+        one = lambda cond: F.when(cond, 1).otherwise(0).cast("long")
+        high = lambda x: x >= size // 2
+
+        def step(a: Column, x: Column) -> Column:
+            begun = a["last"] >= 0
+            added = {
+                "n": F.lit(1).cast("long"), "up": one(high(x)), "runs": one(~begun | (high(x) != high(a["last"]))), "total": x.cast("long"),
+                "squares": (x * x).cast("long"), "lag": F.when(begun, x * a["last"]).otherwise(0).cast("long"), **{f"c{b}": one(x >= edges[b]) for b in range(1, CELLS)},
+            }
+            return F.struct(*[(a[k] + added[k]).alias(k) for k in sums], F.when(begun, a["first"]).otherwise(x).alias("first"), x.alias("last"))
+
+        def of(t: Column) -> Column:
+            n, up, runs = (t[k].cast("double") for k in ("n", "up", "runs"))
+            above = [n, *(t[f"c{b}"].cast("double") for b in range(1, CELLS)), F.lit(0.0)]
+            chi = F.lit(0.0)
+            for b in range(CELLS):
+                want = n * ((edges[b + 1] - edges[b]) / size)
+                chi = chi + (above[b] - above[b + 1] - want) * (above[b] - above[b + 1] - want) / want
             uniform = let(chi, lambda x: F.exp(-x / 2) * (1 + x / 2))
-            high = F.transform(v, lambda x: F.when(x >= size // 2, 1).otherwise(0))
-
-            def runs(h: Column) -> Column:
-                up = F.aggregate(h, F.lit(0), lambda a, x: a + x).cast("double")
-                seen = 1 + F.aggregate(F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1), lambda a, b: F.when(a == b, 0).otherwise(1)), F.lit(0), lambda a, x: a + x)
-                mean = 2 * up * (n - up) / n + 1
-                var = (mean - 1) * (mean - 2) / (n - 1)
-                return F.when(var > 0, two_sided((seen - mean) / F.sqrt(var))).otherwise(F.lit(0.0))
-
-            def serial(d: Column) -> Column:
-                mean = F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / n
-                var = F.aggregate(d, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-                lag = F.aggregate(F.zip_with(F.slice(d, F.lit(1), F.size(d) - 1), F.slice(d, F.lit(2), F.size(d) - 1), lambda x, y: (x - mean) * (y - mean)), F.lit(0.0), lambda a, x: a + x)
-                return F.when(var > 0, two_sided((n * lag / var + 1) / F.sqrt(n))).otherwise(F.lit(0.0))
-
-            tests = F.array(uniform, let(high, runs), let(F.transform(v, lambda x: x.cast("double")), serial))
-            half = F.aggregate(tests, F.lit(0.0), lambda a, p: a - F.ln(F.greatest(p, F.lit(1e-15))))
+            expected = 2 * up * (n - up) / n + 1
+            spread = let(expected, lambda m: (m - 1) * (m - 2) / (n - 1))
+            by_runs = let(spread, lambda v: F.when(v > 0, two_sided((runs - expected) / F.sqrt(v))).otherwise(F.lit(0.0)))
+            mean = t["total"] / n
+            var = t["squares"] - n * mean * mean
+            lag = t["lag"] - mean * (2 * t["total"] - t["first"] - t["last"]) + (n - 1) * mean * mean
+            serial = let(var, lambda v: F.when(v > 1e-9, two_sided((n * lag / v + 1) / F.sqrt(n))).otherwise(F.lit(0.0)))
+            half = F.aggregate(F.array(uniform, by_runs, serial), F.lit(0.0), lambda a, p: a - F.ln(F.greatest(p, F.lit(1e-15))))
             return let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
 
-        return let(digits, of)
+        return let(F.aggregate(digits, start, step), of)
 
     plain = F.translate(F.rtrim(body, F.lit("=")), "-_", "+/")
+
     def pick(s: Column) -> Column:
         out = F
         for name, shape, alphabet in ENCODINGS:
@@ -148,41 +157,45 @@ def _class(size: Column) -> Column:
 
 
 def limits(candidate_rows: DataFrame, rate: float = RATE) -> list[float]:
-    """The largest p-value that the Benjamini-Hochberg step-up rejects, for each length class.
+    """The p-value from which strings are reported as random, for each length class (2.0: none are).
 
-    The hypotheses are "the string is random"; a rejected string is ordinary text. Each class is
-    controlled by itself, since short strings have little power and would else be ruled by long ones.
-    p-values are counted in a bounded number of bins, and a bin is rejected only as a whole.
+    p-values of random strings are uniform, those of ordinary text lie near zero. So twice the number of
+    strings above one half (and one more) tells how many are random, and what is above a limit beyond the random
+    ones' part and two standard errors of it is ordinary. The limit is the least one, LEAST_P at the lowest, at which
+    ordinary strings are at most `rate` of those reported. Each class is controlled by itself, since short strings have little
+    power and would else hide behind long ones. p-values count in whole steps, rounded down.
     """
-    power = F.least(F.floor(-F.log10(F.greatest("p", F.lit(10.0**-FLOOR))) * BINS), F.lit(BINS * FLOOR - 1)).cast("int")
-    bins = candidate_rows.groupBy(_class(F.col("size")).alias("class"), power.alias("bin")).count().collect()
+    steps = F.least(F.floor(F.col("p") * STEPS), F.lit(STEPS)).cast("int")
+    counts = candidate_rows.where("p is not null").groupBy(_class(F.col("size")).alias("class"), steps.alias("step")).count().collect()  # LENGTHS x STEPS rows at most
     out = []
     for k in range(len(LENGTHS)):
-        own = sorted(((r.bin, r["count"]) for r in bins if r["class"] == k), reverse=True)
-        total, upto, best = sum(n for _, n in own), 0, 0.0
-        for b, n in own:
-            upto += n
-            if (edge := 10.0 ** (-b / BINS)) <= rate * upto / total:
-                best = edge
+        own = {r.step: r["count"] for r in counts if r["class"] == k}
+        random = 2 * (sum(n for s, n in own.items() if 2 * s >= STEPS) + 1)
+        best, above = 2.0, 0
+        for s in range(STEPS, int(LEAST_P * STEPS) - 1, -1):
+            above += own.get(s, 0)
+            if own.get(s) and above - (random + 2 * math.sqrt(random)) * (1 - s / STEPS) <= rate * above:
+                best = s / STEPS
         out.append(best)
     return out
 
 
-def with_secrets(docs: DataFrame, name: str, text_col: str = "text", rate: float = RATE) -> DataFrame:
-    """docs with a column of all spans (start, kind, end), ordered by start and kind.
+def with_secrets(docs: DataFrame, name: str, text_col: str = "text", rate: float = RATE, kept: list[str] | None = None) -> DataFrame:
+    """The kept columns of docs (None: all) with one of all spans (start, kind, end), ordered by start and kind.
 
-    Spans of the battery are the candidates whose randomness is not rejected. The text is scanned
-    twice, once for the distribution of p-values and once for the spans, so no text is shuffled.
+    Spans of the battery are the candidates whose p-value is at least the limit of their length class. Each text is scanned
+    once: what was found is written down in the shared folder, and the limits and the spans both come from there.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     inner = fresh(docs, "_found")
     joined = lambda t: let(F.concat(*base_spans(t)), lambda base: F.struct(base.alias("base"), candidates(t, base).alias("random")))
-    seen = docs.select(joined(text).alias(inner))
+    bare = lambda s: F.struct(s.start, s.kind, s.end)
+    slim = lambda f: F.struct(F.transform(f.base, bare).alias("base"), f.random.alias("random"))
+    seen = cut(docs.select(*[docs[c] for c in (docs.columns if kept is None else kept)], let(joined(text), slim).alias(inner)))
     at = limits(seen.select(F.explode(f"{inner}.random").alias("c")).select("c.size", "c.p"), rate)
     cut_at = lambda s: F.element_at(F.array(*[F.lit(x) for x in at]), _class(s["size"]) + 1)
-    bare = lambda s: F.struct(s.start, s.kind, s.end)
-    both = lambda f: F.array_sort(F.concat(F.transform(f.base, bare), F.transform(F.filter(f.random, lambda s: s.p > cut_at(s)), bare)))
-    return docs.withColumn(name, let(joined(text), both))
+    both = lambda f: F.array_sort(F.concat(f.base, F.transform(F.filter(f.random, lambda s: F.floor(s.p * STEPS) / STEPS >= cut_at(s)), bare)))
+    return seen.withColumn(name, let(F.col(inner), both)).drop(inner)
 
 
 def _joined(spans: Column) -> Column:
@@ -197,7 +210,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     string. Repeated rows are scanned as often as they come. Columns besides the two are not read.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = with_secrets(rows, "all_spans").select("doc_id", "all_spans")
+    rows = with_secrets(rows, "all_spans", kept=["doc_id"])
     count = lambda k: F.size(F.filter("all_spans", lambda s: s.kind == k)).cast("long")
     base = F.filter("all_spans", lambda s: s.kind < 3)
     return rows.select(
@@ -206,20 +219,46 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """text with a mark in place of each run of overlapping spans; in pieces, so that the work stays near linear in the text."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def merge(a: Column, s: Column) -> Column:
+        goes_on = s.start < a["end"]
+        last = F.struct(F.element_at(a["done"], -1).start.alias("start"), F.greatest(a["end"], s.end).alias("end"))
+        longer = F.concat(F.slice(a["done"], F.lit(1), F.greatest(F.size(a["done"]) - 1, F.lit(0))), F.array(last))
+        done = F.when(goes_on, longer).otherwise(F.concat(a["done"], F.array(F.struct(s.start.alias("start"), s.end.alias("end")))))
+        return F.struct(done.alias("done"), F.greatest(a["end"], s.end).alias("end"))
+
+    def of(runs: Column) -> Column:
+        def piece(c: Column, i: Column) -> Column:
+            base = i * PIECE
+
+            def cleaned(own: Column) -> Column:
+                part = lambda m, j: let(
+                    F.coalesce(F.get(own, j - 1).end - base, F.lit(0)),
+                    lambda before: F.concat(F.substring(c, before + 1, F.greatest(m.start - base - before, F.lit(0))), F.when(m.start >= base, F.lit(mark)).otherwise("")),
+                )
+                rest = F.substring(c, F.element_at(own, -1).end - base + 1, F.lit(PIECE))
+                return F.when(F.size(own) == 0, c).otherwise(F.concat(F.array_join(F.transform(own, part), ""), F.when(F.element_at(own, -1).end - base < PIECE, rest).otherwise("")))
+
+            return let(F.filter(runs, lambda m: (m.start < base + PIECE) & (m.end > base)), cleaned)
+
+        return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), piece), "")
+
+    merged = F.aggregate(spans, F.struct(none.alias("done"), F.lit(0).alias("end")), merge, lambda a: a["done"])
+    return let(merged, of)
+
+
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = MARK) -> DataFrame:
-    """docs with every secret span replaced by a mark; overlapping spans give one mark, and length_col follows the text."""
+    """docs with every secret span replaced by a mark; overlapping spans give one mark, and length_col follows the text.
+
+    Null texts stay null, texts without a span as they are, and repeated rows repeated.
+    """
     name = fresh(docs, "_spans")
     rows = with_secrets(docs, name, text_col)
     text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(a: Column, s: Column) -> Column:
-        piece = F.when(s.start >= a["at"], F.concat(F.substring(text, a["at"] + 1, s.start - a["at"]), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(a["at"], s.end).alias("at"), F.concat(a["parts"], F.array(piece)).alias("parts"))
-
-    clean = F.aggregate(F.col(name), start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    redacted = F.when(F.size(name) > 0, clean).otherwise(text)
-    out = rows.withColumn(text_col, redacted).drop(name)
+    out = rows.withColumn(text_col, F.when(F.size(name) > 0, _without(text, F.col(name), mark)).otherwise(text)).drop(name)
     if length_col and length_col in out.columns:
         kind = dict(docs.dtypes)[length_col]
         out = out.withColumn(length_col, F.when(F.col(text_col).isNotNull(), F.length(text_col).cast(kind)).otherwise(F.col(length_col)))

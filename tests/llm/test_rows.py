@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -86,20 +87,64 @@ def test_battery(spark):
         assert r.p == want if want is None else r.p == pytest.approx(want, abs=1e-5)
 
 
-def test_step_up_limits(spark):
+def brute_limit(ps, rate=0.1):
+    """Least limit at which ordinary strings are at most `rate` of those reported, on p-values rounded down to thousandths."""
+    ps = [math.floor(p * 1000) / 1000 for p in ps]
+    random_ones = 2 * (sum(p >= 0.5 for p in ps) + 1)
+    fine = [c for c in set(ps) if c >= 0.01 and (n := sum(p >= c for p in ps)) - (random_ones + 2 * math.sqrt(random_ones)) * (1 - c) <= rate * n + 1e-9]
+    return min(fine, default=2.0)
+
+
+def test_limits_keep_ordinary_strings_few(spark):
     rng = random.Random(4)
-    rows = [(rng.choice((20, 40, 80)), rng.random() ** 3 if rng.random() < 0.5 else 10 ** -rng.uniform(2, 12)) for _ in range(2000)]
-    got = secrets.limits(spark.createDataFrame(rows, "size int, p double"), 0.1)
-    for k, size in enumerate((20, 40, 80)):
-        ps = sorted(p for s, p in rows if s == size)
-        exact = max([p for i, p in enumerate(ps, 1) if p <= 0.1 * i / len(ps)], default=0.0)
-        # whole bins only: never above the exact limit's own bin, and at most a bin or so below it
-        assert exact / 10 ** (3 / secrets.BINS) <= got[k] <= exact * 10 ** (1 / secrets.BINS)
-    assert secrets.limits(spark.createDataFrame([], "size int, p double")) == [0.0] * 3
+    rows = [(rng.choice((20, 40, 80)), rng.random() < 0.3) for _ in range(20000)]
+    rows = [(n, secret, rng.random() if secret else min(1.0, rng.expovariate(60 if n > 20 else 12))) for n, secret in rows]
+    got = secrets.limits(spark.createDataFrame([(n, p) for n, _, p in rows], "size int, p double"), 0.1)
+    for limit, size in zip(got, (20, 40, 80), strict=True):
+        own = [(secret, p) for n, secret, p in rows if n == size]
+        assert limit == brute_limit([p for _, p in own])
+        told = [secret for secret, p in own if p >= limit]
+        assert len(told) > 50 and told.count(False) <= 0.2 * len(told)
+    assert got[0] > got[1] and secrets.limits(spark.createDataFrame([], "size int, p double")) == [2.0] * 3
+
+
+def brute_random(texts):
+    """All spans of the battery, from the definitions."""
+    found = []
+    for i, t in enumerate(texts):
+        base = [(m.start(), m.end()) for p, ok in BASE for m in p.finditer(t or "") if ok(m)]
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}", t or ""):
+            p = brute_battery(m[0])
+            if p is not None and not any(a < m.end() and m.start() < b for a, b in base):
+                found.append((i, m.start(), m.end(), p))
+    kind = lambda a, b: sum(b - a >= n for n in (20, 32, 64))
+    at = {k: brute_limit([p for _, a, b, p in found if kind(a, b) == k]) for k in (1, 2, 3)}
+    return {(i, a, b) for i, a, b, p in found if math.floor(p * 1000) / 1000 >= at[kind(a, b)]}
+
+
+def test_random_spans_equal_brute_force_end_to_end(spark):
+    rng = random.Random(12)
+    words = "Alpha beta gamma Delta house 2023 river Stone walk night 42 paper Cloud seven".split()
+    ordinary = ["".join(rng.choices(words, k=rng.randrange(4, 16))) for _ in range(250)]
+    keys = [token(500 + i, rng.choice((B64, "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")), rng.randrange(20, 90)) for i in range(60)]
+    strings = ordinary + keys
+    rng.shuffle(strings)
+    texts = [f"\U0001f600 see {strings[i]} and x={strings[i + 1]} end" for i in range(0, len(strings) - 1, 2)] + TEXTS
+    got = {(r.doc_id, *map(int, s.split(":")[1:])) for r in secrets.scan(documents(spark, texts)).collect() for s in r.spans.split(",") if s.startswith("random")}
+    want = brute_random(texts)
+    assert got == want and len(want) > 20
+    told = [texts[i][a:b] for i, a, b in got]
+    assert sum(t.rstrip("=") in keys for t in told) >= max(0.7 * len(told), 0.7 * len(keys))
+
+
+def test_a_very_long_string_takes_seconds(spark):
+    text = "data:image/png;base64," + token(3, B64, 1_000_000) + " end"
+    began = time.perf_counter()
+    (row,) = secrets.scan(documents(spark, [text])).collect()
+    assert time.perf_counter() - began < 60 and row.doc_id == 0
 
 
 def test_random_strings_are_found_and_ordinary_ones_are_not(spark):
-    # many ordinary strings, which the step-up rejects as not random, and a few keys among them
     words = ["Internationalisierungs1", "zzzzzzzzzzzzzzzzzzzzzzzz1", "Xyzxyzxyzxyzxyzxyzxyzxyz1", "Xxxxxxxxxxxxxxxxxxxxxxxx9"] * 30
     keys = [token(100 + i, B64, 48) for i in range(8)]
     rows = documents(spark, [f"see {w} now" for w in words] + [f"see {k} now" for k in keys])
@@ -135,6 +180,24 @@ def test_redaction(spark):
     assert got[3].text == f"{secrets.MARK} and {secrets.MARK}'" and secrets.redact(df.where("false")).count() == 0
 
 
+def test_redaction_across_pieces(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 7)
+    rng = random.Random(2)
+    texts = []
+    for _ in range(60):
+        parts = [rng.choice(("x" * rng.randrange(1, 9), "\U0001f600é ", f"token={token(rng.random(), 'abcdefghij', rng.randrange(12, 30))} ", "f" * 16 + " ")) for _ in range(rng.randrange(12))]
+        texts.append("".join(parts))
+    got = {r.doc_id: r for r in secrets.redact(documents(spark, texts)).collect()}
+    spans = {r.doc_id: r.spans for r in secrets.scan(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want, end = "", 0
+        for a, b in sorted(tuple(map(int, s.split(":")[1:])) for s in spans[i].split(",") if s):
+            if a >= end:
+                want += t[end:a] + secrets.MARK
+            end = max(end, b)
+        assert got[i].text == want + t[end:] and got[i].n_chars == len(got[i].text)
+
+
 def test_running_total(spark):
     values = list(range(1, 301))
     got = spark.range(1).select(secrets.running_total(F.array(*map(F.lit, values)), 16).alias("v")).first().v
@@ -159,15 +222,76 @@ def test_raking_meets_margins_and_bounds():
         assert w == pytest.approx(plain, rel=1e-3)
 
 
-def test_raking_tables_equals_raking_arrays(spark):
-    docs = spark.read.parquet(DOCS)
-    keyed = docs.select("source", "lang", mixing.topic_of(F.col("text")).alias("topic"), F.length("text").cast("long").alias("tokens")).where("length(source) > 4 or source in ('src0', 'src1')")
-    small = {(r.source, r.lang, r.topic): r.probability for r in mixing.calibrate(keyed, fraction=0.2).cells.collect()}
-    large = mixing.calibrate(keyed, fraction=0.2, driver_cells=1)
-    assert not large.small
-    got = {(r.source, r.lang, r.topic): r.probability for r in large.cells.collect()}
-    assert got.keys() == small.keys()
-    assert np.mean([abs(got[k] - small[k]) for k in got]) < 0.02
+def brute_raking(cells, targets, total):
+    """Proportional fitting of {key: tokens} by dictionaries: scale each value to its target, never above a cell's tokens."""
+    whole = sum(cells.values())
+    w = {k: t * min(1.0, total / whole) for k, t in cells.items()}
+    for _ in range(mixing.ROUNDS):
+        for m, weights in enumerate(targets):
+            there = {k[m] for k in cells}
+            sum_ = sum(weights.get(v, 0) for v in there)
+            for v in there:
+                own = [k for k in cells if k[m] == v]
+                want, have = weights.get(v, 0) / sum_ * total, sum(w[k] for k in own)
+                if want < have:
+                    w |= {k: w[k] * want / have for k in own}
+                elif free := [k for k in own if w[k] < cells[k] * (1 - 1e-12)]:
+                    scale = (want - sum(w[k] for k in own if k not in free)) / sum(w[k] for k in free)
+                    w |= {k: min(w[k] * scale, cells[k]) for k in free}
+    return {k: w[k] / t for k, t in cells.items()}
+
+
+CELLS = {(f"s{a}", f"l{b}", f"t{c}"): 40 + 137 * ((3 * a + 5 * b + 7 * c) % 6) for a in range(3) for b in range(2) for c in range(2)}
+TARGETS = [{"s0": 5, "s1": 3, "s2": 2, "gone": 9}, {"l0": 7, "l1": 1}, {"t0": 1, "t1": 1}]
+
+
+def keyed_cells(spark):
+    return spark.createDataFrame([(*k, t) for k, t in CELLS.items()], "source string, lang string, topic string, tokens long").coalesce(1)
+
+
+@pytest.mark.parametrize("fraction", [0.25, 0.6])
+def test_raking_equals_brute_force(spark, fraction):
+    got = mixing.calibrate(keyed_cells(spark), dict(zip(mixing.MARGINS, TARGETS, strict=True)), fraction)
+    mine = {(r.source, r.lang, r.topic): r.probability for r in got.cells.collect()}
+    want = brute_raking(CELLS, TARGETS, fraction * sum(CELLS.values()))
+    assert got.small and mine.keys() == want.keys() and all(mine[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+
+
+@pytest.mark.parametrize("targets", [dict(zip(mixing.MARGINS, TARGETS, strict=True)), {"lang": {}, "topic": {"t0": 1}}])
+def test_raking_takes_the_same_steps_on_both_sides_of_the_switch(spark, monkeypatch, targets):
+    monkeypatch.setattr(mixing, "ROUNDS", 3)
+    found = []
+    for driver_cells in (mixing.DRIVER_CELLS, 1):
+        got = mixing.calibrate(keyed_cells(spark), targets, 0.4, driver_cells)
+        assert got.small == (driver_cells > 1)
+        found.append({(r.source, r.lang, r.topic): r.probability for r in got.cells.collect()})
+    assert found[0].keys() == found[1].keys() and all(found[0][k] == pytest.approx(found[1][k], abs=1e-9) for k in found[0])
+
+
+def test_drawn_documents_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 40)), *rng.choice(list(CELLS))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, t string")
+    got = mixing.sample(docs, topic=F.col("t"), targets=dict(zip(mixing.MARGINS, TARGETS, strict=True)), fraction=0.3).collect()
+    cells = Counter()
+    for _, text, *key in rows:
+        cells[tuple(key)] += len(text.split())
+    p = brute_raking(cells, TARGETS, 0.3 * sum(cells.values()))
+    draws = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(mixing.SEED)).alias("h")).collect()}
+    draws = {i: ((h % (1 << 64)) >> 11) / (1 << 53) for i, h in draws.items()}
+    assert {r.doc_id for r in got} == {i for i, _, *key in rows if draws[i] < p[tuple(key)]}
+    assert all(r.probability == pytest.approx(p[r.source, r.lang, r.topic], abs=1e-5) for r in got)
+
+
+def test_topics_part_texts_by_their_words(spark):
+    rng = random.Random(9)
+    fields = ["river bank water fish boat stream".split(), "court judge law trial verdict plea".split(), "flour oven bread yeast dough salt".split()]
+    rows = [(i, " ".join(rng.choices(fields[i % 3], k=30) + rng.choices("the of and to in".split(), k=20)), "s", "en") for i in range(150)] + [(900, None, "s", "en"), (901, " ", "s", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r.topic for r in mixing.sample(docs, fraction=1.0).collect()}
+    groups = [{got[i] for i in range(k, 150, 3) if i in got} for k in range(3)]
+    assert not (groups[0] & groups[1] or groups[0] & groups[2] or groups[1] & groups[2])
+    assert mixing.fit_topics(docs.where("false")) == {}
 
 
 def test_sampling(spark):
