@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrafuse.llm.common import cut, table
+from terrafuse.llm.common import HOT, cut, table
 
 #: Roles that take no part in the rotation: their turns stay system turns in every view.
 SYSTEM_ROLES = ("system",)
 UNKNOWN = "unknown"
 END = "<|end|>\n"
-_NAME = r"[^A-Za-z0-9_-]"
+#: A dialogue of more than one in HOT of all turns meets its views in so many parts a hot share.
+PARTS = 64
 
 
 def rotate(
@@ -25,7 +26,7 @@ def rotate(
     """One row per turn and view: conv_id, perspective, seq, kind, segment, start, end, loss, loss_start.
 
     A view renders the whole dialogue with one participant as the assistant and the others as named
-    users; joining its segments by seq gives the text, start and end are code points in it (end
+    users, whose names are percent-encoded; joining its segments by seq gives the text, start and end are code points in it (end
     exclusive), and the loss falls on [loss_start, end) of the participant's own segments. A dialogue is
     never gathered: turns are range-partitioned by dialogue, view and order, offsets are summed within
     partitions, and the partitions' totals are added, so a dialogue of any length is spread out.
@@ -41,10 +42,19 @@ def rotate(
         F.replace(F.coalesce(turns[text_col].cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     )
     system = F.col("role").isin(*system_roles)
-    views = rows.where(~system).select(F.col("conv_id").alias("view_conv"), F.col("role").alias("perspective")).distinct()
-    seen = rows.join(views, F.col("conv_id").eqNullSafe(F.col("view_conv"))).drop("view_conv")
+    # long dialogues, which are at most HOT, are dealt in parts, and their views repeated for each of them
+    sizes = cut(rows.groupBy("conv_id").agg(F.count("*").alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    parts = F.least(F.ceil(F.col("n") * PARTS / max(total, 1)), F.lit(PARTS)).cast("int") + 1
+    long_ones = F.broadcast(sizes.where(F.col("n") * HOT > total).select(F.col("conv_id").alias("long_conv"), parts.alias("parts")))
+    dealt = lambda df: df.join(long_ones, F.col("conv_id").eqNullSafe(F.col("long_conv")), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("long_conv")
+    views = dealt(rows.where(~system).select("conv_id", F.col("role").alias("perspective")).distinct())
+    views = views.select(F.col("conv_id").alias("view_conv"), "perspective", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("view_part"))
+    own = dealt(rows).withColumn("own_part", F.pmod(F.xxhash64("turn", "text"), F.col("parts")).cast("int"))
+    seen = own.join(views, F.col("conv_id").eqNullSafe(F.col("view_conv")) & (F.col("own_part") == F.col("view_part"))).drop("view_conv", "view_part", "own_part", "parts")
     kind = F.when(system, "system").when(F.col("role") == F.col("perspective"), "assistant").otherwise("user")
-    name = F.regexp_replace("role", _NAME, "_")
+    # percent signs and hex digits for all but letters, digits and - . _ ~, so that different names stay different
+    name = F.replace(F.replace(F.replace(F.url_encode("role"), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
     header = F.when(F.col("kind") == "user", F.concat(F.lit("<|user name="), name, F.lit("|>\n"))).otherwise(F.concat(F.lit("<|"), "kind", F.lit("|>\n")))
     seen = seen.withColumn("kind", kind).withColumn("head", F.length(header)).withColumn("segment", F.concat(header, "text", F.lit(END)))
     order = ["turn", "role", "text"]
@@ -77,7 +87,7 @@ WITH r AS (SELECT conv_id, turn, coalesce(role, '{UNKNOWN}') AS role, replace(co
 v AS (SELECT DISTINCT conv_id, role AS perspective FROM r WHERE role <> 'system'),
 k AS (SELECT r.*, perspective, CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user' END AS kind
       FROM r JOIN v ON r.conv_id IS NOT DISTINCT FROM v.conv_id),
-h AS (SELECT *, CASE WHEN kind = 'user' THEN '<|user name=' || regexp_replace(role, '{_NAME}', '_', 'g') || '|>' || chr(10)
+h AS (SELECT *, CASE WHEN kind = 'user' THEN '<|user name=' || url_encode(role) || '|>' || chr(10)
       ELSE '<|' || kind || '|>' || chr(10) END AS head FROM k),
 s AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM h),
 o AS (SELECT *, row_number() OVER w AS seq, CAST(sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end"

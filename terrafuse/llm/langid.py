@@ -7,15 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrafuse.llm.common import fresh, give_back, slices, table
 
 UNDETERMINED = "und"
 ORDER = 4
-#: Labelled documents that a model is fitted on, for each language and in all.
-ROWS_PER_LANGUAGE, ROWS = 400, 8000
+#: Labelled documents that a model is fitted on, for each language and in all, and the code points of one at most: of a longer
+#: text a run that its hash chooses.
+ROWS_PER_LANGUAGE, ROWS, MOST_CHARS = 400, 8000, 1 << 14
 #: Texts are scored in slices of about this many bytes, each of which takes some fifty bytes of memory.
 SLICE = 1 << 20
 
@@ -75,7 +76,7 @@ class Ppm:
             for kept, out in zip((self.total, self.distinct, self.excluded), sums, strict=True):
                 kept.append(out)
         self.known = self.keys[-1]
-        self.cost = self.code_length(self.known).astype(np.float32)
+        self.cost = self.code_length(self.known)
         self.width = max(10, int(4 * len(self.known) - 1).bit_length())
         self.slot = np.full(1 << self.width, -1, np.int32)
         self.slot[self._hash(self.known)] = np.arange(len(self.known), dtype=np.int32)
@@ -111,7 +112,7 @@ class Ppm:
         at = self.slot[self._hash(grams)]
         missed = np.flatnonzero((at < 0) | (self.known[at] != grams))
         other, back = np.unique(grams[missed], return_inverse=True)
-        slow = self.code_length(other).astype(np.float32) if len(other) else None
+        slow = self.code_length(other) if len(other) else None
         out = np.empty((len(bounds) - 1, len(self.languages)))
         for i in range(len(self.languages)):
             cost = self.cost[at, i]
@@ -147,24 +148,32 @@ def fit(
     rows_per_language: int = ROWS_PER_LANGUAGE,
     rows: int = ROWS,
 ) -> Ppm:
-    """A model of every language in lang_col, from whole texts of documents outside the held-out fold.
+    """A model of every language in lang_col, from documents outside the held-out fold.
 
-    The classifier is fitted on a bounded sample: at most rows_per_language documents a language and
-    `rows` in all, those with the smallest hash of their id. Rows without id, text or language don't count.
+    The classifier is fitted on a bounded sample: at most rows_per_language different documents a language and
+    `rows` in all, those with the smallest hash of id and text, and MOST_CHARS of each. Rows without id, text or language
+    don't count, and a document that repeats counts once.
     """
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].alias("lang"))
-    source = source.where("doc_id is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    counts = {r.lang: r["count"] for r in source.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()}
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
+    source = source.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
+    hashed = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(11))
+    # different documents, so that one that repeats very often does not thin out its language
+    sizes = source.groupBy("lang").agg(F.approx_count_distinct(hashed, 0.03).alias("n"))
+    counts = {r.lang: r.n for r in sizes.orderBy(F.desc("n"), "lang").limit(rows).collect()}
     if not counts:
         return Ppm({}, order)
-    each = max(1, min(rows_per_language, rows // len(counts)))
-    hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 30))
-    bound = docs.sparkSession.createDataFrame([(k, int((1 << 30) * min(1.0, 1.25 * each / n)) + 1) for k, n in counts.items()], "lang string, below long")
-    drawn = source.withColumn("lang", F.col("lang").cast("string")).join(F.broadcast(bound), "lang").withColumn("hashed", hashed).where("hashed < below")
+    each, ring = max(1, min(rows_per_language, rows // len(counts))), 1 << 30
+    bound = docs.sparkSession.createDataFrame([(k, int(ring * min(1.0, 1.4 * each / n)) + 1) for k, n in counts.items()], "lang string, below long")
+    # the bounds are at most `rows` rows
+    drawn = source.join(F.broadcast(bound), "lang").withColumn("hashed", hashed).where(F.pmod("hashed", F.lit(ring)) < F.col("below"))
+    over = F.greatest(F.length("text") - MOST_CHARS, F.lit(0))
+    part = F.substring("text", F.pmod("hashed", over + 1).cast("int") + 1, F.lit(MOST_CHARS))
+    single = drawn.select("lang", "hashed", part.alias("text")).groupBy("lang", "hashed").agg(F.min("text").alias("text"))
+    kept = single.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hashed", F.lit(ring)), "hashed"))).where(F.col("place") <= each)
     texts: dict[str, list] = {}
-    for r in drawn.select("lang", "hashed", "text").where("text is not null").collect():
-        texts.setdefault(r.lang, []).append((r.hashed, r.text))
-    model = Ppm({k: [t.encode() for _, t in sorted(v)[:each]] for k, v in texts.items()}, order)
+    for r in kept.select("lang", "place", "text").collect():
+        texts.setdefault(r.lang, []).append((r.place, r.text))
+    model = Ppm({k: [t.encode() for _, t in sorted(v)] for k, v in texts.items()}, order)
     give_back()
     return model
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -165,11 +166,25 @@ class Packer:
         return pa.RecordBatch.from_arrays(cols, names)
 
 
+#: Normalizer and pre-tokenizer of tokenizers that fold case and whose tokens never cross white space (fixed values of the format).
+BY_WORD = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
 class WordIds:
-    """Token ids of whole texts by a tokenizer that folds case and whose tokens never cross white space.
+    """Token ids of whole texts, equal to those of the plain tokenizer.
 
-    Each distinct word is encoded once: the new words of a slice go to the tokenizer in long lines, parted by a
-    mark, whose id then tells where each word's ids end. Known words are kept up to a number.
+    With a tokenizer that is known to fold case and to part words each distinct word is encoded once: the new words of a
+    slice go to the tokenizer in long lines, parted by a mark, whose id then tells where each word's ids end. Known
+    words are kept up to a number. Texts that hold a special token's string, and all texts of other tokenizers, are encoded whole.
     """
 
     MARK = "\x01"
@@ -180,9 +195,16 @@ class WordIds:
 
         # one core to a task: the tokenizer's own threads would contend with the other tasks'
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.plain = Tokenizer.from_file(path)
+        self.end_id, self.cached = np.array([end_id], np.int32), cached
+        rules = json.loads(self.plain.to_str())
+        self.special = [t["content"] for t in rules["added_tokens"]]
+        self.by_word = (rules["normalizer"], rules["pre_tokenizer"]) == BY_WORD and not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in rules["added_tokens"])
+        if not self.by_word:
+            return
+        # words are lower-cased before, which may make a special token's string of another one: here these are ordinary text
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.end_id, self.cached = np.array([end_id], np.int32), cached
         self.model = self.tokenizer.model
         one = lambda c: self.tokenizer.encode(c, add_special_tokens=False).ids
         (self.mark_id,) = one(self.MARK)
@@ -238,7 +260,23 @@ class WordIds:
         self.size = np.concatenate([self.size, np.array(size, np.int64), sizes, np.array([len(x) for x in alone], np.int64)])
         self.flat = np.concatenate([self.flat, np.array(flat, np.int32), ids, *alone])
 
+    def whole(self, text: str | None) -> np.ndarray:
+        return np.array([*self.plain.encode(text or "", add_special_tokens=False).ids, *self.end_id], np.int32)
+
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        if not self.by_word:
+            yield from map(self.whole, texts.to_pylist())
+            return
+        odd = np.zeros(len(texts), bool)
+        for mark in self.special:
+            odd |= pc.fill_null(pc.match_substring(texts, mark), False).to_numpy(zero_copy_only=False)
+        apart = {int(i): self.whole(texts[int(i)].as_py()) for i in np.flatnonzero(odd)}
+        if apart:
+            texts = pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts)
+        for i, ids in enumerate(self._of_words(texts)):
+            yield apart.get(i, ids)
+
+    def _of_words(self, texts: pa.Array) -> Iterator[np.ndarray]:
         words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafuse.llm.common import SPACE_CLASS, SPACES, cut, let, table, words_of
+from terrafuse.llm.common import SPACE_CLASS, SPACES, cut, hot_join, let, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Rules on the measures of one document. The first two are the base rules, which fail the document by itself.
@@ -15,8 +15,9 @@ RULES = {
     "symbols": "10 * n_symbols > n_words",
 }
 BASE_RULES = ("short", "repeats")
-#: A host fails if the shrunk rate of one of its rules is above this.
-MOST_FAILURES = 0.5
+#: A host fails if one of its rules surely fails too often: the posterior rate, less CERTAIN of its standard deviations, is
+#: above so many times the common rate, taken within the two bounds.
+TIMES, BOUNDS, CERTAIN = 2.0, (0.25, 0.5), 1.645
 #: Word positions are packed beside hashes of their windows in so many bits; longer texts sort pairs instead.
 _POSITION_BITS = 22
 
@@ -88,43 +89,45 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return rows.select("doc_id", "host", "c.n_words", "c.word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words")
 
 
-def host_verdicts(measured: DataFrame, rules: dict[str, str] = RULES, most: float = MOST_FAILURES) -> DataFrame:
+def host_verdicts(measured: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     """(host, n_docs, <rule>_rate for each rule, host_failed) from rows of measures().
 
     Each rule's failures by host are Beta-binomial; the prior's mean and weight come from the moments of
-    all hosts (their spread beyond binomial noise), so small hosts are drawn towards the common rate.
+    all hosts (their spread beyond binomial noise), so small hosts are drawn towards the common rate. A host fails if the
+    posterior of one rule lies above the limit with a probability of 95 % (by its mean and standard deviation).
     """
     failed = {r: F.sum(F.expr(f"({e})").cast("long")).alias(f"{r}_n") for r, e in rules.items()}
-    hosts = measured.groupBy("host").agg(F.count("*").alias("n_docs"), *failed.values())
+    hosts = cut(measured.groupBy("host").agg(F.count("*").alias("n_docs"), *failed.values()))
     moments = []
     for r in rules:
         f, n = F.col(f"{r}_n"), F.col("n_docs")
         moments += [F.sum(f).alias(f"{r}_f"), F.sum(f * f / n).alias(f"{r}_ff")]
     total = hosts.agg(F.sum("n_docs").alias("n"), F.count("*").alias("hosts"), *moments).first()
-    out = hosts
+    out, bad = hosts, F.lit(False)
     for r in rules:
         n, k = float(total["n"] or 1), float(total["hosts"] or 1)
         mean = float(total[f"{r}_f"] or 0) / n
         spread = max(float(total[f"{r}_ff"] or 0) / n - mean * mean - mean * (1 - mean) * k / n, 1e-9)
         weight = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6)
-        out = out.withColumn(f"{r}_rate", (F.col(f"{r}_n") + mean * weight) / (F.col("n_docs") + weight))
-    worst = F.greatest(*[F.col(f"{r}_rate") for r in rules]) if len(rules) > 1 else F.col(f"{next(iter(rules))}_rate")
-    return out.select("host", "n_docs", *[f"{r}_rate" for r in rules], (worst > most).alias("host_failed"))
+        limit = min(max(TIMES * mean, BOUNDS[0]), BOUNDS[1])
+        rate, seen = F.col(f"{r}_rate"), F.col("n_docs") + weight
+        out = out.withColumn(f"{r}_rate", (F.col(f"{r}_n") + mean * weight) / seen)
+        bad = bad | (rate - CERTAIN * F.sqrt(rate * (1 - rate) / (seen + 1)) > limit)
+    return out.select("host", "n_docs", *[f"{r}_rate" for r in rules], bad.alias("host_failed"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rules: dict[str, str] = RULES) -> DataFrame:
     """Measures, base_failed and kept of every document.
 
-    Null hosts are one host of their own. Repeated rows are judged and counted as often as they
-    come. Columns besides the three are not read. No rows give no rows.
+    A document is kept if neither it nor its host fails. Null hosts are one host of their own. Repeated rows are judged and
+    counted as often as they come. Columns besides the three are not read. No rows give no rows. A host may hold any part of all rows.
     """
-    measured = cut(measures(docs, id_col, text_col, host_col))
-    verdicts = host_verdicts(measured, rules).select(F.col("host").alias("verdict_host"), "host_failed")
-    joined = measured.join(verdicts, F.col("host").eqNullSafe(F.col("verdict_host")), "left")
+    named = F.when(F.col("host").isNull(), "").otherwise(F.concat(F.lit("="), "host"))
+    measured = cut(measures(docs, id_col, text_col, host_col).withColumn("host", named))
+    verdicts = cut(host_verdicts(measured, rules).select("host", "n_docs", "host_failed"))
     base = F.expr(" or ".join(f"({RULES[r]})" for r in BASE_RULES))
-    return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & ~F.coalesce("host_failed", F.lit(False))).alias("kept"),
+    return hot_join(measured, verdicts, "host", "n_docs").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~F.col("host_failed")).alias("kept"),
     )
 
 
@@ -155,7 +158,8 @@ f AS (SELECT source, rule, count(*) AS n, sum(CASE WHEN failed THEN 1.0 ELSE 0.0
       GROUP BY source, rule),
 t AS (SELECT rule, sum(n)::DOUBLE AS n, count(*)::DOUBLE AS hosts, sum(k)::DOUBLE / sum(n) AS mean, sum(k::DOUBLE * k / n) / sum(n) AS sq FROM f GROUP BY rule),
 p AS (SELECT rule, mean, least(greatest(mean * (1 - mean) / greatest(sq - mean * mean - mean * (1 - mean) * hosts / n, 1e-9) - 1, 1.0), 1e6) AS weight FROM t),
-h AS (SELECT source, max((k + mean * weight) / (n + weight)) > {MOST_FAILURES} AS host_failed FROM f JOIN p USING (rule) GROUP BY source)
+q AS (SELECT source, least(greatest({TIMES} * mean, {BOUNDS[0]}), {BOUNDS[1]}) AS most, (k + mean * weight) / (n + weight) AS rate, n + weight AS seen FROM f JOIN p USING (rule)),
+h AS (SELECT source, bool_or(rate - {CERTAIN}::DOUBLE * sqrt(rate * (1 - rate) / (seen + 1)) > most) AS host_failed FROM q GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(host_failed, false) AS kept

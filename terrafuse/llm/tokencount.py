@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrafuse.llm.common import give_back, slices, table
 
@@ -16,8 +17,8 @@ from terrafuse.llm.common import give_back, slices, table
 SPACE = "▁"
 #: A byte of a character that no piece covers costs this much more than the worst piece.
 BYTE_PENALTY = 10.0
-#: Longer pre-tokens are scored beside the trie, which does not change a count.
-LONGEST = 256
+#: From this depth on a node that only one pre-token reaches is followed by itself, from its ancestors' scores.
+DEEP = 64
 
 
 def vocabulary(path: str | None = None) -> dict[str, float]:
@@ -81,10 +82,7 @@ class Trie:
     def counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each of the distinct pre-tokens; an empty one has none."""
         out = np.zeros(len(words), np.int64)
-        order = sorted((i for i, w in enumerate(words) if 0 < len(w) <= LONGEST), key=words.__getitem__)
-        for i, w in enumerate(words):
-            if len(w) > LONGEST:
-                out[i] = self.alone(w)
+        order = sorted((i for i, w in enumerate(words) if w), key=words.__getitem__)
         if not order:
             return out
         order = np.array(order)
@@ -113,6 +111,13 @@ class Trie:
             ends = size[rows] == depth
             out[order[rows[ends]]] = levels[-1][1][node[ends]]
             rows, node = rows[~ends], node[~ends]
+            if depth >= DEEP and len(rows):
+                lone = np.bincount(node)[node] == 1
+                for r, x in zip(rows[lone], node[lone], strict=True):
+                    back = range(min(depth, k), -1, -1)
+                    state = [[float(levels[depth - j][0][above[x, j]]) for j in back], [int(levels[depth - j][1][above[x, j]]) for j in back]]
+                    out[order[r]] = self.follow(words[order[r]], depth, *state)
+                rows, node = rows[~lone], node[~lone]
         return out
 
     def _level(self, depth: int, c: np.ndarray, hashes: np.ndarray, last: np.ndarray, above: np.ndarray, levels: list) -> tuple[np.ndarray, np.ndarray]:
@@ -139,16 +144,15 @@ class Trie:
                 score[j[better]], count[j[better]] = s[better], t[better]
         return score, count
 
-    def alone(self, word: str) -> int:
-        """Tokens of one pre-token, without the trie."""
-        scores, counts = [0.0], [0]
-        for n in range(1, len(word) + 1):
+    def follow(self, word: str, depth: int, scores: list[float], counts: list[int]) -> int:
+        """Tokens of a word whose first `depth` characters are scored: the last ones' scores and counts, oldest first."""
+        for n in range(depth + 1, len(word) + 1):
             size = len(word[n - 1].encode("utf-8", "surrogatepass"))
-            best, fewest = scores[n - 1] + size * self.byte, counts[n - 1] + size
+            best, fewest = scores[-1] + size * self.byte, counts[-1] + size
             for k in range(1, min(n, self.most) + 1):
                 p = self.pieces.get(word[n - k : n])
                 if p is not None:
-                    s, t = scores[n - k] + p, counts[n - k] + 1
+                    s, t = scores[-k] + p, counts[-k] + 1
                     if s > best or (s == best and t < fewest):
                         best, fewest = s, t
             scores.append(best)
@@ -184,4 +188,5 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"))
+    """The public model has merge ranks and no probabilities: the column scores says what stands in for them."""
+    return count_tokens(table(spark, sf_dir, "documents")).withColumn("scores", F.lit("rank by Zipf's law"))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from terrafuse.llm import chat, mixing, secrets, urls
@@ -319,7 +320,7 @@ def test_views_of_a_dialogue(spark):
         got[r.conv_id, r.perspective].append(r)
     assert set(got) == {(1, "ann"), (1, "b o b"), (3, "unknown"), (None, "ann")}
     ann = "".join(r.segment for r in got[1, "ann"])
-    assert ann == "<|system|>\nrules<|end|>\n<|assistant|>\nhi < |end|><|end|>\n<|user name=b_o_b|>\nyo<|end|>\n<|assistant|>\n<|end|>\n"
+    assert ann == "<|system|>\nrules<|end|>\n<|assistant|>\nhi < |end|><|end|>\n<|user name=b%20o%20b|>\nyo<|end|>\n<|assistant|>\n<|end|>\n"
     for own in got.values():
         text, at = "".join(r.segment for r in own), 0
         for k, r in enumerate(own):
@@ -329,6 +330,18 @@ def test_views_of_a_dialogue(spark):
     assert len(got[3, "unknown"]) == 2 and chat.rotate(df.where("false")).count() == 0
 
 
+def test_names_stay_apart_and_views_equal_the_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [(1, i, r, f"t{i}") for i, r in enumerate(["a b", "a_b", "a+b", "a%20b", "é*~", "system", "a b"])] + [(2, i % 50, f"p{i % 3}", "same" if i % 2 else None) for i in range(400)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    want = con.sql(chat.ORACLE_SQL)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(str(Row(**dict(zip(want.columns, r, strict=True)))) for r in want.fetchall())
+
+
 def test_a_long_dialogue_goes_over_partitions(spark):
     rows = [(1, i, f"p{i % 3}", "t" * (i % 7)) for i in range(3000)]
     got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).where("perspective = 'p1'").orderBy("seq").collect()
@@ -397,6 +410,30 @@ def test_url_verdicts(spark):
     assert urls.judge_urls(df.where("false")).count() == 0 and urls.judge_urls(df.union(df)).count() == 2 * len(pages)
 
 
+def test_rules_as_a_table_of_any_size(spark, monkeypatch):
+    rng = random.Random(5)
+    hosts = ["a.com", "b.a.com", "c.b.a.com", "com", "x.org", "..b", "a..b", ""]
+    paths = ["", "/", "/x", "/x/y", "/xy", "x", "/x/y/z"]
+    rules = [(rng.choice(("allow", "block")), rng.choice(hosts[:6]), rng.choice(paths)) for _ in range(25)]
+    pages = spark.createDataFrame([(i, rng.choice(hosts), rng.choice(paths)) for i in range(200)], "page_id long, host string, path string")
+    want = sorted(map(tuple, urls.with_rules(pages, rules).collect()), key=str)
+    assert want == sorted(map(tuple, urls.with_rules(pages, spark.createDataFrame(rules, "verdict string, host string, path string")).collect()), key=str)
+    monkeypatch.setattr(urls, "EXPRESSED", 3)
+    assert want == sorted(map(tuple, urls.with_rules(pages, rules).collect()), key=str)
+    assert {w[3] is None for w in want} == {True, False}
+
+
+@pytest.mark.parametrize("html,target", [
+    ('<HEAD><LINK HREF=/q/../r?a=1&amp;b=2 REL=Canonical ></HEAD>', "http://h.org/r?a=1&b=2"), ("<link rel='nofollow canonical' href='other.html'>", "http://h.org/p/other.html"),
+    ('<base href="//b.net/d/e"><meta content="0;URL=\'f\'" http-equiv=refresh>', "http://b.net/d/f"), ('<meta property=og:url content="?z=1">', "http://h.org/p/page?z=1"),
+    ('<!-- <link rel="canonical" href="/no"> -->', None), ('<body><link rel="canonical" href="/no"></body>', None), ('<link rel="canonical" data-href="/no">', None),
+    ("<script>'<link rel=canonical href=/no>'</script>", None), ('<link rel="canonical" href="./../../up">', "http://h.org/up"), ("plain canonical text", None), (None, None),
+])
+def test_links_of_pages(spark, html, target):
+    got = urls.page_links(spark.createDataFrame([("http://h.org/p/page", html), (None, html)], "url string, html string")).collect()
+    assert [r.target for r in got] == ([target] if target else [])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -60,7 +60,7 @@ def test_code_lengths_are_exact():
     data, bounds = np.frombuffer(b"".join(probes), np.uint8), np.cumsum([0, *map(len, probes)])
     got = model.text_lengths(data, bounds)
     want = np.array([[brute[k].bits(p) for k in model.languages] for p in probes])
-    assert got == pytest.approx(want, rel=1e-5)
+    assert got == pytest.approx(want, rel=1e-9)
 
 
 def test_probabilities_of_a_context_sum_to_one():
@@ -80,6 +80,16 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_fit_reads_a_bounded_sample_whatever_repeats(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_CHARS", 50)
+    rows = [(1, "same words again " * 40, "aa")] * 500 + [(i, f"other text number {i} " * 9, "bb") for i in range(2, 60)] + [(99, None, "cc"), (None, "x", "dd"), (77, "y", None)]
+    seen = {}
+    monkeypatch.setattr(langid, "Ppm", lambda texts, order: seen.update(texts))
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=10)
+    assert {k: len(v) for k, v in seen.items()} == {"aa": 1, "bb": 10}
+    assert all(len(t) == 50 for v in seen.values() for t in v)
+
+
 def test_language_of_odd_rows(spark):
     docs = odd_documents(spark)
     model = langid.fit(spark.read.parquet(DOCS))
@@ -119,7 +129,9 @@ def test_long_pretokens_and_odd_vocabularies(monkeypatch):
     words = ["▁" + "abcc" * 200, "▁abc", "▁\U0001f600é"]
     assert tokencount.Trie(PIECES).counts(words).tolist() == [brute_tokens(w, PIECES) for w in words]
     assert tokencount.Trie({}).counts(["ab", "é"]).tolist() == [2, 2]
-    monkeypatch.setattr(tokencount, "LONGEST", 3)
+    words += ["▁" + "abcc" * 60 + "b", "▁" + "abcc" * 60 + "cc", "▁" + "abcc" * 60, "▁b" * 50]
+    assert tokencount.Trie(PIECES).counts(words).tolist() == [brute_tokens(w, PIECES) for w in words]
+    monkeypatch.setattr(tokencount, "DEEP", 2)
     assert tokencount.Trie(PIECES).counts(words).tolist() == [brute_tokens(w, PIECES) for w in words]
 
 
@@ -139,11 +151,10 @@ def test_token_counts_of_documents(spark):
     assert tokencount.count_tokens(docs.where("false")).count() == 0
 
 
-def check_pieces(rows, texts, limits, padding_allowed=0):
+def check_pieces(rows, texts, limits, padding_allowed=0, path=None):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(packing.default_tokenizer())
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_file(path or packing.default_tokenizer())
     ids = {d: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for d, t in texts.items()}
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -187,6 +198,16 @@ def test_packing_odd_rows(spark):
     assert packing.pack_documents(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_strings_and_other_tokenizers(spark, name):
+    import public_tokenizers
+
+    path = public_tokenizers.path(name)
+    texts = dict(enumerate(["a<|endoftext|>b C", "<|STARTOFTEXT|> x", "<|startoftext|>", "Plain  Words\n\twith CASE", "<|", None, "It's 42 don't\u00a0x \u0130I"]))
+    rows = packing.pack_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tokenizer=path).collect()
+    check_pieces(rows, texts, packing.Limits(), path=path)
+
+
 def test_examples_stay_whole(spark):
     rng = np.random.default_rng(4)
     rows = [(i, int(n), int(rng.integers(0, n + 1))) for i, n in enumerate(rng.integers(1, 700, 900))] + [(900, 5000, 1), (901, None, 1), (902, 5, 1500), (903, -1, 0)]
@@ -240,3 +261,22 @@ def test_bad_hosts_fail_and_small_ones_are_drawn_to_the_mean(spark):
     assert got[30000].kept and not got[30001].kept
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert quality.judge(empty).count() == 0
+
+
+def test_host_verdicts_decide_and_agree_with_the_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    good = " ".join(f"w{i}" for i in range(80))
+    rows = []
+    for h, (size, rate) in enumerate([(300, 0.1), (200, 0.08), (400, 0.12), (250, 0.7), (60, 0.55), (5, 1.0), (2000, 0.1), (40, 0.3)]):
+        rows += [(len(rows) + i, "short text" if rng.random() < rate else good, f"h{h}") for i in range(size)]
+    df = pd.DataFrame([*rows, (len(rows), good, None), (len(rows), None, None)], columns=["doc_id", "text", "source"])
+    got = {tuple(r) for r in quality.judge(spark.createDataFrame(list(df.itertuples(index=False, name=None)), "doc_id long, text string, source string")).collect()}
+    con = duckdb.connect()
+    con.register("documents", df)
+    assert got == set(con.sql(quality.ORACLE_SQL).fetchall())
+    hosts = dict(zip(df.doc_id, df.source, strict=True))
+    dropped = {hosts[r[0]] for r in got if not r[6] and not r[7]}
+    assert dropped == {"h3", "h4"}
