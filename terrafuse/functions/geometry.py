@@ -140,3 +140,129 @@ def canonical_ring(values: Column) -> Column:
         return let(ahead, lambda r: F.when((F.size(r) > 2) & (r[1] > F.element_at(r, -1)), F.concat(F.slice(r, F.lit(1), F.lit(1)), F.reverse(F.slice(r, F.lit(2), F.size(r))))).otherwise(r))
 
     return let(values, lambda v: F.when(F.size(v) < 2, v).otherwise(of(v)))
+
+
+def polar(x: Column, y: Column) -> tuple[Column, Column]:
+    """C14: length and angle of a vector, the angle from -pi to pi."""
+    return F.sqrt(x * x + y * y), F.atan2(y, x)
+
+
+def direction_end(x: Column, y: Column, angle: Column, size: Column) -> Column:
+    """The far end of the mark that shows a drawn text's direction, `size` back along the angle."""
+    return F.struct((x - size * F.cos(angle)).alias("x"), (y - size * F.sin(angle)).alias("y"))
+
+
+def _steps(points: Column, pair) -> Column:
+    n = F.size(points)
+    return F.zip_with(F.slice(points, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(points, F.lit(2), F.greatest(n - 1, F.lit(0))), pair)
+
+
+def geodesic_area(points: Column) -> Column:
+    """Square metres of a closed ring in degrees on the sphere, whichever way it runs."""
+    term = lambda a, b: (F.radians(b["x"]) - F.radians(a["x"])) * (2 + F.sin(F.radians(a["y"])) + F.sin(F.radians(b["y"])))
+    return F.abs(F.aggregate(_steps(points, term), F.lit(0.0), lambda s, d: s + d)) * (EARTH * EARTH / 2)
+
+
+def closest_point(points: Column, x: Column, y: Column) -> Column:
+    """(d, x, y): the point of a line or ring that is nearest to a point, and how far it is."""
+
+    def of(a: Column, b: Column) -> Column:
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        square = dx * dx + dy * dy
+        t = F.when(square > 0, F.least(F.greatest(((x - a["x"]) * dx + (y - a["y"]) * dy) / square, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        at = lambda p: F.struct(F.sqrt((p["x"] - x) * (p["x"] - x) + (p["y"] - y) * (p["y"] - y)).alias("d"), p["x"].alias("x"), p["y"].alias("y"))
+        return let(F.struct((a["x"] + t * dx).alias("x"), (a["y"] + t * dy).alias("y")), at)
+
+    return F.array_min(_steps(points, of))
+
+
+def _side(a: Column, b: Column, p: Column) -> Column:
+    return F.signum((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]))
+
+
+def _on(a: Column, b: Column, p: Column) -> Column:
+    within = lambda c: p[c].between(F.least(a[c], b[c]), F.greatest(a[c], b[c]))
+    return (_side(a, b, p) == 0) & within("x") & within("y")
+
+
+def lines_meet(first: Column, second: Column) -> Column:
+    """True if two lists of points share a place on their lines, touching included."""
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+
+    def meet(s: Column, t: Column) -> Column:
+        a, b, c, d = s["a"], s["b"], t["a"], t["b"]
+        apart = (_side(a, b, c) * _side(a, b, d) < 0) & (_side(c, d, a) * _side(c, d, b) < 0)
+        return apart | _on(a, b, c) | _on(a, b, d) | _on(c, d, a) | _on(c, d, b)
+
+    return let(_steps(second, pair), lambda other: F.exists(_steps(first, pair), lambda s: F.exists(other, lambda t: meet(s, t))))
+
+
+def rings_intersect(first: Column, second: Column) -> Column:
+    """True if two polygons (closed rings) share a point."""
+    inside = lambda ring, p: ring_contains(ring, p["x"], p["y"])
+    return lines_meet(first, second) | inside(first, second[0]) | inside(second, first[0])
+
+
+def ring_holds(ring: Column, points: Column) -> Column:
+    """True if a line lies inside a ring and nowhere on its edge."""
+    return F.forall(points, lambda p: ring_contains(ring, p["x"], p["y"])) & ~lines_meet(ring, points)
+
+
+def wkt_polygons(text: Column) -> Column:
+    """P10: the rings of each polygon of a POLYGON or MULTIPOLYGON text, outer ring first; null for other texts."""
+    point = lambda p: let(F.split(F.trim(p), " +"), lambda c: F.struct(c[0].cast("double").alias("x"), c[1].cast("double").alias("y")))
+    ring = lambda r: F.transform(F.split(r, ","), point)
+    rings = lambda p: F.transform(F.regexp_extract_all(p, F.lit(r"\(([^()]+)\)"), F.lit(1)), ring)
+    bodies = F.regexp_extract_all(text, F.lit(r"(\((?:\s*\([^()]+\)\s*,?)+\))"), F.lit(1))
+    return F.when(text.rlike(r"^\s*(MULTI)?POLYGON"), F.transform(bodies, rings))
+
+
+# The ellipsoid GRS 80 and the national conic projections (origin and parallels in degrees, false origin in metres).
+_AXIS, _ECCENTRICITY = 6378137.0, math.sqrt(0.00669438002290)
+CONIC = {"LAMB93": (46.5, 3.0, 44.0, 49.0, 700000.0, 6600000.0)} | {
+    f"RGF93CC{z}": (float(z), 3.0, z - 0.75, z + 0.75, 1700000.0, (z - 41) * 1000000.0 + 200000.0) for z in range(42, 51)
+}
+
+
+def _cone(code: str) -> tuple[float, float, float, float, float]:
+    """Exponent, constant, pole's radius at the origin, and false origin of a conic projection with two parallels."""
+    lat0, _, lat1, lat2, x0, y0 = CONIC[code]
+    e = _ECCENTRICITY
+    m = lambda p: math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2)
+    t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
+    p0, p1, p2 = (math.radians(v) for v in (lat0, lat1, lat2))
+    n = (math.log(m(p1)) - math.log(m(p2))) / (math.log(t(p1)) - math.log(t(p2)))
+    f = m(p1) / (n * t(p1) ** n)
+    return n, f, _AXIS * f * t(p0) ** n, x0, y0
+
+
+def to_projection(lon: Column, lat: Column, code: str) -> Column:
+    """(x, y) in metres of a point in degrees, in a conic projection of the land registry."""
+    (n, f, r0, x0, y0), e = _cone(code), _ECCENTRICITY
+    p = F.radians(lat)
+    t = F.tan(math.pi / 4 - p / 2) / F.pow((1 - e * F.sin(p)) / (1 + e * F.sin(p)), F.lit(e / 2))
+    r, a = _AXIS * f * F.pow(t, F.lit(n)), n * F.radians(lon - CONIC[code][1])
+    return F.struct((x0 + r * F.sin(a)).alias("x"), (y0 + r0 - r * F.cos(a)).alias("y"))
+
+
+def from_projection(x: Column, y: Column, code: str) -> Column:
+    """(lon, lat) in degrees of a point in a conic projection of the land registry."""
+    (n, f, r0, x0, y0), e = _cone(code), _ECCENTRICITY
+    dx, dy = x - x0, r0 - (y - y0)
+    t = F.pow(F.sqrt(dx * dx + dy * dy) / (_AXIS * f), F.lit(1 / n))
+    p = math.pi / 2 - 2 * F.atan(t)
+    for _ in range(6):  # each step gains over two digits
+        p = let(e * F.sin(p), lambda s: math.pi / 2 - 2 * F.atan(t * F.pow((1 - s) / (1 + s), F.lit(e / 2))))
+    return F.struct((F.degrees(F.atan2(dx, dy)) / n + CONIC[code][1]).alias("lon"), F.degrees(p).alias("lat"))
+
+
+def to_metres(lon: Column, lat: Column, lon0: Column, lat0: Column) -> Column:
+    """(x, y) in metres around a centre, degrees of longitude as wide as there."""
+    k = EARTH * math.pi / 180
+    return F.struct(((lon - lon0) * k * F.cos(F.radians(lat0))).alias("x"), ((lat - lat0) * k).alias("y"))
+
+
+def from_metres(x: Column, y: Column, lon0: Column, lat0: Column) -> Column:
+    """(lon, lat) of metres around a centre."""
+    k = EARTH * math.pi / 180
+    return F.struct((lon0 + x / (k * F.cos(F.radians(lat0)))).alias("lon"), (lat0 + y / k).alias("lat"))

@@ -18,7 +18,7 @@ TITLES = {
 DIGITS = ("ZERO", "UN", "DEUX", "TROIS", "QUATRE", "CINQ", "SIX", "SEPT", "HUIT", "NEUF")
 NUMBER_WORDS = {"DIX": "UNZERO", "ONZE": "UNUN", "DOUZE": "UNDEUX"}
 SMALL_WORDS = ("de", "la", "le", "du", "des", "les", "d", "l")
-#: House number with an optional repetition word or letter.
+# Fixed value: house number with an optional repetition word or letter.
 HOUSE_NUMBER = r"(?i)^([0-9]+)((?: bis)|(?: ter)|(?: quater)|(?: quinquies)|(?:[A-Za-z?]*))\b"
 REPETITIONS = {"B": "bis", "T": "ter", "Q": "quater"}
 

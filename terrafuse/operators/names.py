@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafuse.functions.text import repetition, to_ascii
+from terrafuse.operators.spatial import nearest
 
 
 def token_distance(name: Column, candidate: Column) -> Column:
-    """Each word of name takes the nearest remaining word of candidate; the distances' sum.
+    """Each word of name, from the last one on, takes the nearest remaining word of candidate; the distances' sum.
 
-    Ties go to the word that sorts first; when none is left a word costs its length and one.
+    The last words of a street's name tell most. Words compare in lower case without accents. Ties go to the word that sorts first; when none is left a word costs its length and one.
     """
-    start = F.struct(F.lit(0).alias("sum"), F.split(candidate, " ").alias("rest"))
+    start = F.struct(F.lit(0).alias("sum"), F.split(F.lower(to_ascii(candidate)), " ").alias("rest"))
 
     def step(a: Column, w: Column) -> Column:
         near = F.array_min(F.transform(a["rest"], lambda c: F.struct(F.levenshtein(w, c).alias("d"), c.alias("c"))))
@@ -24,19 +25,35 @@ def token_distance(name: Column, candidate: Column) -> Column:
             (a["sum"] + F.when(none, F.length(w) + 1).otherwise(near["d"])).alias("sum"), F.when(none, a["rest"]).otherwise(left).alias("rest")
         )
 
-    return F.aggregate(F.split(name, " "), start, step, lambda a: a["sum"])
+    return F.aggregate(F.reverse(F.split(F.lower(to_ascii(name)), " ")), start, step, lambda a: a["sum"])
 
 
-def best_names(names: DataFrame, register: DataFrame, most: float = 0.5) -> DataFrame:
-    """Best register name of each distinct name that shares a first letter with it, if the distance is under `most` a letter.
+def best_names(pairs: DataFrame, key: list[str], most: float = 0.5) -> DataFrame:
+    """(*key, name, distance): of the names that a row may have, the one nearest to the text drawn, if the distance is under `most` a letter of the name.
 
-    The block on the first letter keeps the comparison an equi-join; both sides are distinct names.
+    pairs is (*key, text, name), a row for each name that comes into question: those of the row's parcel, or the register's within reach.
+    All of them are compared, whatever they begin with; ties go to the name that sorts first.
     """
-    a = names.select(F.col("name"), F.substring("name", 1, 1).alias("block")).distinct()
-    b = register.select(F.col("name").alias("candidate"), F.substring("name", 1, 1).alias("block")).distinct()
-    pairs = a.join(b, "block").where("name <> candidate").withColumn("distance", token_distance(F.col("name"), F.col("candidate")))
-    best = pairs.groupBy("name").agg(F.min(F.struct("distance", "candidate")).alias("best"))
-    return best.select("name", F.col("best.candidate").alias("candidate"), F.col("best.distance").alias("distance")).where(F.col("distance") < most * F.length("name"))
+    scored = pairs.withColumn("distance", token_distance(F.col("name"), F.col("text")))
+    best = scored.groupBy(*key).agg(F.min(F.struct("distance", "name")).alias("best"))
+    return best.select(*key, F.col("best.name").alias("name"), F.col("best.distance").alias("distance")).where(F.col("distance") < most * F.length("name"))
+
+
+def streets_within(points: DataFrame, drawn: DataFrame, reach: float = 50.0) -> DataFrame:
+    """(id, text, away): the text (id, text, x, y) drawn nearest to each point (id, x, y), within reach; ties to the smaller id."""
+    near = nearest(points, drawn.select("id", "x", "y")).where(F.col("distance") <= reach)
+    return near.join(drawn.select(F.col("id").alias("site"), "text"), "site").select("id", "text", F.col("distance").alias("away"))
+
+
+def with_dictionary(names: Column, dictionary: DataFrame, rows: DataFrame, out: str, key: str = "ascii", value: str = "word") -> DataFrame:
+    """Rows with `out`, the names with each word replaced by the dictionary's (key, value) for it, where it has one.
+
+    Words are dealt out with their places and joined, so that a dictionary of any size serves; rows need a column id.
+    """
+    words = rows.select("id", F.posexplode(F.split(names, " ")).alias("at", "w")).withColumn("plain", F.lower(to_ascii(F.col("w"))))
+    told = words.join(dictionary.select(F.col(key).alias("plain"), F.col(value).alias("said")), "plain", "left")
+    lists = told.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("said", "w").alias("x")))).alias("l"))
+    return rows.join(lists, "id", "left").withColumn(out, F.array_join(F.transform("l", lambda p: p["x"]), " ")).drop("l")
 
 
 def unambiguous(register: DataFrame, key: str, code: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrafuse.functions.geometry import box_distance
 from terrafuse.plans.cut import cut
 
-#: D of the expanding search for a house number's parcel: 0 to 3, 4 to 48 by 2, 50 to 195 by 5.
+# Steps of the expanding search for a house number's parcel, 0 to 3, 4 to 48 by 2, 50 to 195 by 5.
 LADDER = (*range(4), *range(4, 50, 2), *range(50, 200, 5))
 
 
@@ -58,10 +58,11 @@ def nearest(points: DataFrame, sites: DataFrame, extent: float | None = None) ->
         sure = best.select("id", F.col("b.site").alias("site"), F.col("b.distance").alias("distance"))
         if ring < whole:
             sure = sure.where(F.col("distance") <= ring * size)
+        sure = cut(sure)  # later rounds would else compute it again
         done = sure if done is None else done.union(sure)
         if ring >= whole:
             return done
-        left = left.join(sure.select("id"), "id", "left_anti")
+        left = cut(left.join(sure.select("id"), "id", "left_anti"))
         if left.isEmpty():
             return done
         ring *= 4
@@ -131,10 +132,10 @@ def best_limits(parcels: DataFrame, limits: DataFrame, size: float, area: float
 
 def ladder_step(distance: Column) -> Column:
     """The first step of the expanding search that reaches a distance; null beyond the last."""
-    return F.filter(F.array(*[F.lit(s) for s in LADDER]), lambda s: s >= distance)[0]
+    return F.get(F.filter(F.array(*[F.lit(s) for s in LADDER]), lambda s: s >= distance), F.lit(0))
 
 
-def greedy_pairs(edges: DataFrame, order: list[str], one_set: bool = False, rounds: int = 100) -> DataFrame:
+def greedy_pairs(edges: DataFrame, order: list[str], one_set: bool = False) -> DataFrame:
     """The pairs (a, b) that a greedy one-to-one pass over the edges in some order takes.
 
     Each round takes the edges that come first at both their ends and drops the edges at the ends
@@ -143,7 +144,7 @@ def greedy_pairs(edges: DataFrame, order: list[str], one_set: bool = False, roun
     """
     key = F.struct(*order, "a", "b")
     left, taken = cut(edges.select("a", "b", *order)), None
-    for _ in range(rounds):
+    while True:  # each round takes the first edge of all at least
         ends = left.select(F.struct(F.lit(0).alias("s"), F.col("a").alias("e")).alias("end"), key.alias("k")).union(
             left.select(F.struct(F.lit(0 if one_set else 1).alias("s"), F.col("b").alias("e")).alias("end"), key.alias("k"))
         )
@@ -156,7 +157,6 @@ def greedy_pairs(edges: DataFrame, order: list[str], one_set: bool = False, roun
         left = cut(free_a.join((gone if one_set else now.select(F.col("b").alias("e"))).withColumnRenamed("e", "b"), "b", "left_anti"))
         if left.isEmpty():
             return taken.select("a", "b", *order)
-    raise RuntimeError(f"no greedy assignment within {rounds} rounds")
 
 
 def tiles(box: DataFrame, size: float, margin: float = 10.0) -> DataFrame:
@@ -171,26 +171,63 @@ def tiles(box: DataFrame, size: float, margin: float = 10.0) -> DataFrame:
 def kd_leaves(points: DataFrame, most: int, depth: int = 16) -> DataFrame:
     """Path, n of the boxes that halving by turns leaves when each holds fewer than `most` points.
 
-    G and D are the left and right half, B and H the lower and upper. A point's whole path is known at once, so
-    all levels are counted in one pass; at the last level boxes are left as they are.
+    G and D are the left and right half, B and H the lower and upper. A point's next `depth` halvings are known at once, so
+    they are counted in one pass; what is then still too full goes into another pass. Only points at one place stay together.
     """
-    box = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     half = depth // 2
+    box = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     # the box is one row
-    rows = points.crossJoin(F.broadcast(box))
-    grid = lambda v, a, b: F.least(F.floor((F.col(v) - F.col(a)) / F.greatest(F.col(b) - F.col(a), F.lit(1e-12)) * (1 << half)), F.lit((1 << half) - 1)).cast("int")
-    rows = rows.select(grid("x", "x0", "x1").alias("gx"), grid("y", "y0", "y1").alias("gy")).groupBy("gx", "gy").count()
+    rows, done = points.select("x", "y").crossJoin(F.broadcast(box)).withColumn("parent", F.lit("")), None
+    grid = lambda v, a, b: F.greatest(F.least(F.floor((F.col(v) - F.col(a)) / F.greatest(F.col(b) - F.col(a), F.lit(1e-300)) * (1 << half)), F.lit((1 << half) - 1)), F.lit(0)).cast("int")
     letters = []
     for level in range(half):
         bit = F.lit(1 << (half - 1 - level))
         letters += [F.when(F.col("gx").bitwiseAND(bit) > 0, "D").otherwise("G"), F.when(F.col("gy").bitwiseAND(bit) > 0, "H").otherwise("B")]
-    rows = rows.select(F.concat(*letters).alias("path"), "count")
-    prefixes = rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * half)), lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("path"), "count")
-    counts = prefixes.groupBy("path").agg(F.sum("count").alias("n"))
-    parent = counts.where(F.col("n") >= most).select(F.col("path").alias("parent"))
-    last = F.length("path") == 2 * half
-    own = counts.where((F.col("n") < most) | last).withColumn("parent", F.expr("left(path, greatest(length(path) - 1, 0))"))
-    return own.join(parent, "parent", "left_semi").select("path", "n").union(counts.where((F.length("path") == 0) & (F.col("n") < most)))
+    while True:
+        rows = rows.withColumn("gx", grid("x", "x0", "x1")).withColumn("gy", grid("y", "y0", "y1")).withColumn("path", F.concat(*letters))
+        cells = rows.groupBy("parent", "path").agg(F.count("*").alias("k"), *[f(c).alias(f"{n}_{c}") for n, f in (("a", F.min), ("z", F.max)) for c in ("x", "y")])
+        spread = F.max("z_x") - F.min("a_x") + F.max("z_y") - F.min("a_y")
+        prefixes = cells.withColumn("path", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * half)), lambda n: F.substring(F.col("path"), F.lit(1), n))))
+        counts = cut(prefixes.groupBy("parent", "path").agg(F.sum("k").alias("n"), spread.alias("spread")))
+        full = counts.where((F.col("n") >= most) & (F.col("spread") > 0))
+        above = full.where(F.length("path") < 2 * half).select("parent", F.col("path").alias("up"))
+        left = counts.withColumn("up", F.expr("left(path, greatest(length(path) - 1, 0))"))
+        leaves = left.where(((F.col("n") < most) | (F.col("spread") <= 0)) & (F.length("path") > 0)).join(above, ["parent", "up"], "left_semi")
+        leaves = leaves.select(F.concat("parent", "path").alias("path"), "n")
+        if done is None:
+            leaves = leaves.union(counts.where((F.length("path") == 0) & ((F.col("n") < most) | (F.col("spread") <= 0))).select("path", "n"))
+        done = leaves if done is None else done.union(leaves)
+        deeper = full.where(F.length("path") == 2 * half).select("parent", "path")
+        if deeper.isEmpty():
+            return done
+        side = lambda a, b: (F.col(b) - F.col(a)) / (1 << half)
+        rows = rows.join(deeper, ["parent", "path"], "left_semi").withColumn("wx", side("x0", "x1")).withColumn("wy", side("y0", "y1"))
+        rows = rows.withColumn("x0", F.col("x0") + F.col("gx") * F.col("wx")).withColumn("y0", F.col("y0") + F.col("gy") * F.col("wy"))
+        rows = cut(rows.select("x", "y", "x0", (F.col("x0") + F.col("wx")).alias("x1"), "y0", (F.col("y0") + F.col("wy")).alias("y1"), F.concat("parent", "path").alias("parent")))
+
+
+def ladder_pairs(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(point, box, step): each number's point takes a box at the first step of the distance ladder at which both are still free.
+
+    points is (id, x, y), boxes (id, x0, y0, x1, y1). The ladder is climbed in a few flights; in each only what is still free is joined, on a grid as
+    wide as the flight's last step, and the greedy pass takes steps in order, ties to the smaller point, then box.
+    """
+    flights = [[s for s in LADDER if low < s <= high] for low, high in ((-1, 3), (3, 10), (10, 24), (24, 48), (48, 95), (95, LADDER[-1]))]
+    taken = None
+    for flight in flights:
+        reach = float(flight[-1])
+        p = points.select(F.col("id").alias("a"), "x", "y", cell(F.col("x"), reach).alias("cx"), cell(F.col("y"), reach).alias("cy"))
+        span = lambda low, high: F.explode(F.sequence(cell(F.col(low) - reach, reach), cell(F.col(high) + reach, reach)))  # noqa: B023, E731
+        b = boxes.withColumnRenamed("id", "b").withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+        step = ladder_step(box_distance(*[F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")]))
+        edges = p.join(b, ["cx", "cy"]).select("a", "b", step.alias("step")).where(F.col("step") <= reach)
+        now = cut(greedy_pairs(edges, ["step"]))
+        taken = now if taken is None else taken.union(now)
+        points = cut(points.join(now.select(F.col("a").alias("id")), "id", "left_anti"))
+        boxes = cut(boxes.join(now.select(F.col("b").alias("id")), "id", "left_anti"))
+        if points.isEmpty() or boxes.isEmpty():
+            break
+    return taken.select(F.col("a").alias("point"), F.col("b").alias("box"), "step")
 
 
 def node_ids(points: DataFrame, decimals: int) -> DataFrame:

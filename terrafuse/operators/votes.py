@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A case is decided by so many votes of the first choice and such a margin, and given up from so many votes without it.
 ENOUGH, MARGIN, UNDECIDED = 3, 3, 10
+#: The choice that takes the last vote back and is none itself.
+BACK = "back"
 
 
 def ranked(votes: DataFrame) -> DataFrame:
@@ -63,8 +65,28 @@ def filled_queue(votes: DataFrame, places: DataFrame, ip: int, x: float, y: floa
     return quota.union(rest).orderBy("part", "weight", "case_id").limit(limit)
 
 
-def surviving(votes: DataFrame, minutes: int = 10) -> DataFrame:
-    """Votes that the same voter did not take back by voting again within some minutes."""
-    later = F.lead("ts").over(Window.partitionBy("ip").orderBy("ts", "event_id"))
-    rows = votes.withColumn("later", later)
-    return rows.where(F.col("later").isNull() | (F.col("later") > F.col("ts") + F.expr(f"interval {minutes} minutes"))).drop("later")
+def surviving(log: DataFrame, minutes: int = 10) -> DataFrame:
+    """Votes that stay of a log (case_id, ip, session, ts, choice, event_id).
+
+    Whatever the same session of a voter sends on a case, another vote or "back", takes back what it sent in the minutes before; "back"
+    itself is no vote. The next event is the nearest, so one lead tells.
+    """
+    later = F.lead("ts").over(Window.partitionBy("case_id", "ip", "session").orderBy("ts", "event_id"))
+    rows = log.withColumn("later", later).where(F.col("later").isNull() | (F.col("later") >= F.col("ts") + F.expr(f"interval {minutes} minutes")))
+    return rows.where(F.col("choice") != BACK).drop("later")
+
+
+def force_resolution(cases: DataFrame, forced: DataFrame) -> DataFrame:
+    """Cases (case_id, resolution, resolved_at) with the resolutions of forced (case_id, resolution, at), whether they had one or not."""
+    new = forced.groupBy("case_id").agg(F.max_by(F.struct("resolution", "at"), F.struct("at", "resolution")).alias("f"))
+    rows = cases.join(new, "case_id", "left")
+    return rows.select("case_id", F.coalesce("f.resolution", "resolution").alias("resolution"), F.coalesce("f.at", "resolved_at").alias("resolved_at"))
+
+
+def next_nearest(cases: DataFrame, x: float, y: float) -> DataFrame:
+    """The cases (case_id, x, y) in their order, with the one that is nearest to a place put first; `place` counts from 0."""
+    d = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)
+    best = cases.agg(F.min(F.struct(d.alias("d"), F.col("case_id"))).alias("b")).select(F.col("b.case_id").alias("nearest"))
+    # one row
+    rows = cases.crossJoin(F.broadcast(best))
+    return rows.select("case_id", "x", "y", (F.col("case_id") == F.col("nearest")).alias("first"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from terrafuse.functions import text as X
 from terrafuse.operators import names as N
-from terrafuse.plans.registry import query
+from terrafuse.plans.registry import PT, SPT, query
 from terrafuse.sources import fixed_width, html, json_layers
 
 #: Street types that the queries abbreviate; a register's own table is read from a file.
@@ -13,15 +13,15 @@ _HEADS = ("Avenue de la ", "Boulevard du Général ", "Rue d'", "Chemin Saint ")
 
 
 def _streets(t):
-    """doc_id, name: a made-up street name of each document's first words and number"""
+    """doc_id, name: a made-up street name of each document's words and number"""
     k = F.col("doc_id")
     head = F.element_at(F.array(*[F.lit(h) for h in _HEADS]), (k % 4 + 1).cast("int"))
-    words = F.array_join(F.slice(F.split(F.regexp_replace(F.col("text"), "[^\\p{L}]+", " "), " "), 1, 3), " ")
+    words = F.regexp_replace(F.col("text"), "[^\\p{L}]+", " ")
     return t.documents.select(k, F.concat(head, words, F.when(k % 3 == 0, " XIV").when(k % 3 == 1, F.concat(F.lit(" "), (k % 20).cast("string"))).otherwise("")).alias("name"))
 
 
 _STREETS = """streets AS (SELECT doc_id, ['Avenue de la ', 'Boulevard du Général ', 'Rue d''', 'Chemin Saint '][doc_id % 4 + 1]
-  || array_to_string(string_split(regexp_replace(text, '[^\\p{L}]+', ' ', 'g'), ' ')[1:3], ' ')
+  || regexp_replace(text, '[^\\p{L}]+', ' ', 'g')
   || CASE doc_id % 3 WHEN 0 THEN ' XIV' WHEN 1 THEN ' ' || (doc_id % 20)::VARCHAR ELSE '' END AS name FROM documents)"""
 
 
@@ -117,19 +117,38 @@ def postal_truncate(t):
     return t.part.select(k, X.postal_truncate(address).alias("street"))
 
 
-@query(
-    """WITH n AS (SELECT DISTINCT p_name AS name FROM part),
-p AS (SELECT a.name, b.name AS candidate FROM n a JOIN n b ON a.name[1] = b.name[1] AND a.name <> b.name),
-w AS (SELECT name, candidate, string_split(name, ' ') AS a, string_split(candidate, ' ') AS b FROM p),
--- both names have two words: the first takes the nearer one (ties: the one that sorts first), the second the other
+_FUZZY = """n AS (SELECT DISTINCT p_brand, p_size, p_name AS name FROM part),
+p AS (SELECT a.p_brand, a.p_size, a.name AS text, b.name FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.name <> b.name),
+w AS (SELECT *, string_split(name, ' ') AS a, string_split(text, ' ') AS b FROM p),
+-- all names have two words: the last takes the nearer one (ties: the one that sorts first), the first the other
 d AS (SELECT *, levenshtein(a[1], b[1]) AS d11, levenshtein(a[1], b[2]) AS d12, levenshtein(a[2], b[1]) AS d21, levenshtein(a[2], b[2]) AS d22 FROM w),
-s AS (SELECT name, candidate, CAST(CASE WHEN d11 < d12 OR (d11 = d12 AND b[1] <= b[2]) THEN d11 + d22 ELSE d12 + d21 END AS INTEGER) AS distance FROM d),
-b AS (SELECT name, min({'d': distance, 'c': candidate}) AS m FROM s GROUP BY name)
-SELECT name, m.c AS candidate, m.d AS distance FROM b WHERE m.d < 0.5 * length(name)"""
-)
+s AS (SELECT *, CAST(CASE WHEN d21 < d22 OR (d21 = d22 AND b[1] <= b[2]) THEN d21 + d12 ELSE d22 + d11 END AS INTEGER) AS distance FROM d)"""
+
+
+@query(f"WITH {_FUZZY}, b AS (SELECT p_brand, p_size, text, min({{'d': distance, 'c': name}}) AS m FROM s GROUP BY ALL) SELECT p_brand, p_size, text, m.c AS name, m.d AS distance FROM b WHERE m.d < 0.5 * length(m.c)")
 def fuzzy_name_match(t):
-    names = t.part.select(F.col("p_name").alias("name"))
-    return N.best_names(names, names)
+    """Each name against the others of its brand and size."""
+    names = t.part.select("p_brand", "p_size", F.col("p_name").alias("name")).distinct()
+    pairs = names.withColumnRenamed("name", "text").join(names, ["p_brand", "p_size"]).where("name <> text")
+    return N.best_names(pairs, ["p_brand", "p_size", "text"])
+
+
+@query(
+    f"""WITH {PT}, {SPT}, d AS (SELECT pt.id, spt.id AS site, sqrt((pt.x - spt.x) * (pt.x - spt.x) + (pt.y - spt.y) * (pt.y - spt.y)) AS d FROM pt, spt),
+m AS (SELECT id, min({{'d': d, 's': site}}) AS m FROM d GROUP BY id) SELECT id, 'S' || m.s AS text, round(m.d, 6) AS away FROM m WHERE m.d <= 3"""
+)
+def street_within_reach(t):
+    drawn = t.spt.withColumn("text", F.concat(F.lit("S"), F.col("id").cast("string")))
+    return N.streets_within(t.pt, drawn, 3.0).select("id", "text", F.round("away", 6).alias("away"))
+
+
+@query(
+    """WITH d AS (SELECT 'bolt' AS a, 'Bôlt' AS b UNION ALL SELECT 'blue', 'Bleu' UNION ALL SELECT 'ring', 'Rîng')
+SELECT p_partkey AS id, array_to_string(list_transform(string_split(p_name, ' '), lambda w: CASE w WHEN 'bolt' THEN 'Bôlt' WHEN 'blue' THEN 'Bleu' WHEN 'ring' THEN 'Rîng' ELSE w END), ' ') AS told FROM part"""
+)
+def dictionary_applied(t):
+    words = t.spark.createDataFrame([("bolt", "Bôlt"), ("blue", "Bleu"), ("ring", "Rîng")], "ascii string, word string")
+    return N.with_dictionary(F.col("name"), words, t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "told").select("id", "told")
 
 
 @query(
@@ -151,13 +170,13 @@ def names_to_ids(t):
 
 
 @query(
-    f"""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(lower(regexp_replace(text, '[^\\p{{L}}]+', ' ', 'g')), ' ')) AS word FROM documents WHERE lang = 'fr')),
+    f"""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(lower(regexp_replace(text, '[^\\p{{L}}]+', ' ', 'g')), ' ')) AS word FROM documents)),
 a AS (SELECT word, {_ASCII.format("word")} AS ascii FROM w WHERE word <> '')
 SELECT ascii, min(word) AS word FROM a WHERE ascii <> '' AND ascii <> word GROUP BY ascii HAVING count(DISTINCT word) = 1"""
 )
 def accent_dictionary(t):
     words = F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}]+", " ")), " "))
-    return N.accent_dictionary(t.documents.where("lang = 'fr'").select(words.alias("word")).distinct())
+    return N.accent_dictionary(t.documents.select(words.alias("word")).distinct())
 
 
 @query("SELECT p_type, arg_min(p_name, {'n': length(p_name), 'x': p_name}) AS p_name FROM part GROUP BY p_type")

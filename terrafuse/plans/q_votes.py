@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from terrafuse.operators import votes as V
-from terrafuse.plans.registry import VOTES, query
+from terrafuse.plans.registry import PT, VOTE_LOG, VOTES, query
 
 _RANKED = f"""{VOTES},
 ranked AS (SELECT case_id, choice, count(*) AS nb, min(ts) AS first, max(ts) AS last,
@@ -68,8 +68,30 @@ def undecided_semi(t):
 
 
 @query(
-    f"""WITH {VOTES}, l AS (SELECT *, lead(ts) OVER (PARTITION BY ip ORDER BY ts, event_id) AS later FROM votes)
-SELECT case_id, ip, ts, choice, event_id FROM l WHERE later IS NULL OR later > ts + INTERVAL 10 MINUTE"""
+    f"""WITH {VOTE_LOG} SELECT * FROM vote_log v WHERE choice <> 'back' AND NOT EXISTS (SELECT 1 FROM vote_log w WHERE w.case_id = v.case_id AND w.ip = v.ip AND w.session = v.session
+  AND (w.ts > v.ts OR (w.ts = v.ts AND w.event_id > v.event_id)) AND w.ts - v.ts < INTERVAL 10 MINUTE)"""
 )
 def undo_window(t):
-    return V.surviving(t.votes)
+    return V.surviving(t.vote_log)
+
+
+@query(
+    f"""WITH {VOTES}, c AS (SELECT case_id, arg_max(choice, ts) AS resolution, max(ts) AS resolved_at FROM votes GROUP BY case_id),
+f AS (SELECT case_id, arg_max(choice, {{'t': ts, 'c': choice}}) AS r, max(ts) AS a FROM votes WHERE ip % 10 = 0 GROUP BY case_id)
+SELECT case_id, coalesce(r, resolution) AS resolution, coalesce(a, resolved_at) AS resolved_at FROM c LEFT JOIN f USING (case_id)"""
+)
+def force_resolution(t):
+    """The last vote of one in ten voters is forced on its case."""
+    cases = t.votes.groupBy("case_id").agg(F.max_by("choice", "ts").alias("resolution"), F.max("ts").alias("resolved_at"))
+    return V.force_resolution(cases, t.votes.where("ip % 10 = 0").select("case_id", F.col("choice").alias("resolution"), F.col("ts").alias("at")))
+
+
+@query(f"WITH {PT} SELECT id AS case_id, x, y, id = (SELECT arg_min(id, {{'d': (x - 50) * (x - 50) + (y - 50) * (y - 50), 'i': id}}) FROM pt) AS first FROM pt")
+def nearest_next(t):
+    return V.next_nearest(t.pt.withColumnRenamed("id", "case_id"), 50.0, 50.0)
+
+
+@query(f"WITH {VOTES} SELECT case_id, max(ts) AS last FROM votes GROUP BY case_id ORDER BY last, case_id")
+def cases_by_last_vote(t):
+    """T09"""
+    return t.votes.groupBy("case_id").agg(F.max("ts").alias("last")).orderBy("last", "case_id")

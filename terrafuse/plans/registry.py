@@ -41,6 +41,13 @@ class Tables:
         rows = self.events.where(~((case % 3 == 0) & (F.col("event_id") % 11 > 4)))
         return rows.select(case.alias("case_id"), F.col("user_id").alias("ip"), "ts", choice.alias("choice"), "event_id")
 
+    @property
+    def vote_log(self) -> DataFrame:
+        """case_id, ip, session, ts, choice, event_id: several events of a session on a case within minutes, some of them taken back"""
+        k = F.col("event_id")
+        choice = F.when(k % 7 == 3, "back").when(k % 3 == 0, "keep").otherwise("join")
+        return self.events.select(F.expr("event_id div 50").alias("case_id"), (F.col("user_id") % 3).alias("ip"), (k % 2).alias("session"), "ts", choice.alias("choice"), "event_id")
+
     @property
     def pt(self) -> DataFrame:
         """id, x, y: a point for each customer"""
@@ -87,6 +94,8 @@ VOTES = """votes AS (SELECT event_id // 11 AS case_id, user_id AS ip, ts, event_
   CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'join'
        WHEN event_type = 'signup' THEN CASE WHEN (event_id // 11) % 2 = 0 THEN 'join' ELSE 'keep' END ELSE 'unknown' END AS choice
   FROM events WHERE NOT ((event_id // 11) % 3 = 0 AND event_id % 11 > 4))"""
+VOTE_LOG = """vote_log AS (SELECT event_id // 50 AS case_id, user_id % 3 AS ip, event_id % 2 AS session, ts,
+  CASE WHEN event_id % 7 = 3 THEN 'back' WHEN event_id % 3 = 0 THEN 'keep' ELSE 'join' END AS choice, event_id FROM events)"""
 PT = "pt AS (SELECT c_custkey AS id, (c_custkey * 7919 % 10007) / 100.0::DOUBLE AS x, (c_custkey * c_custkey % 9973) / 100.0::DOUBLE AS y FROM customer)"
 NEAR = f"{PT}, near AS (SELECT id, x + id % 13 / 4.1::DOUBLE - 1.03::DOUBLE AS x, y + id % 11 / 4.1::DOUBLE - 1.03::DOUBLE AS y FROM pt)"
 SPT = "spt AS (SELECT s_suppkey AS id, (s_suppkey * 6007 % 10007) / 100.0::DOUBLE AS x, (s_suppkey * s_suppkey * 31 % 9973) / 100.0::DOUBLE AS y FROM supplier)"

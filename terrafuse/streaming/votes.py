@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from terrafuse.operators.votes import BACK
+
 #: A voter's new vote takes back the one before if it comes within so many minutes.
 UNDO_MINUTES = 10
 
@@ -27,31 +29,31 @@ def windowed(votes: DataFrame, size: str = "1 hour", late: str = "10 minutes") -
 
 
 def _survivors(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One voter's votes: the last one waits in the state until the undo time has passed or another vote decides."""
-    span = pd.Timedelta(minutes=UNDO_MINUTES)
-    rows = [pd.DataFrame([state.get], columns=["case_id", "ts", "choice", "event_id"])] if state.exists else []
+    """A session's events on one case: the last one waits in the state until the undo time has passed or another event decides."""
+    span, columns = pd.Timedelta(minutes=UNDO_MINUTES), ["ts", "choice", "event_id"]
+    told = lambda x: x[x["choice"] != BACK].assign(case_id=key[0], ip=key[1], session=key[2])[["case_id", "ip", "session", *columns]]
+    rows = [pd.DataFrame([state.get], columns=columns)] if state.exists else []
     if state.hasTimedOut:
         state.remove()
-        yield rows[0].assign(ip=key[0])[["case_id", "ip", "ts", "choice", "event_id"]]
+        yield told(rows[0])
         return
     rows += list(batches)
-    votes = pd.concat(rows)[["case_id", "ts", "choice", "event_id"]].sort_values(["ts", "event_id"])
+    votes = pd.concat(rows)[columns].sort_values(["ts", "event_id"])
     later = votes["ts"].shift(-1)
-    final = votes[later.notna() & (later > votes["ts"] + span)]
+    final = votes[later.notna() & (later >= votes["ts"] + span)]
     last = votes.iloc[-1]
-    state.update((int(last["case_id"]), last["ts"].to_pydatetime(), str(last["choice"]), int(last["event_id"])))
+    state.update((last["ts"].to_pydatetime(), str(last["choice"]), int(last["event_id"])))
     due = int((last["ts"] + span).timestamp() * 1000) + 1
     state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
     if len(final):
-        yield final.assign(ip=key[0])[["case_id", "ip", "ts", "choice", "event_id"]]
+        yield told(final)
 
 
 def surviving(votes: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """A stream of the votes that were not taken back; state is one vote for each voter."""
+    """A stream of the votes that were not taken back; state is one event for each case, voter and session."""
     rows = votes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return rows.groupBy("ip").applyInPandasWithState(
-        _survivors, "case_id long, ip long, ts timestamp, choice string, event_id long", "case_id long, ts timestamp, choice string, event_id long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    out = "case_id long, ip long, session long, ts timestamp, choice string, event_id long"
+    return rows.groupBy("case_id", "ip", "session").applyInPandasWithState(_survivors, out, "ts timestamp, choice string, event_id long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_sink(path: str, key: str, value: str, order: str) -> Callable[[DataFrame, int], None]:
