@@ -48,6 +48,24 @@ def identical_rings(ways: DataFrame) -> DataFrame:
     return rows.groupBy("ring").agg(F.min("way_id").alias("way_id"), F.count("*").alias("n"))
 
 
+def identical_ways(ways: DataFrame) -> DataFrame:
+    """(old, new): closed ways (way_id, nds) of the same ring, however rotated or directed, and open ones of the same line, and the first that stands for them."""
+    closed = (F.size("nds") > 1) & (F.col("nds")[0] == F.element_at("nds", -1))
+    line = F.when(F.array_min(F.array(F.col("nds"), F.reverse("nds"))) == F.col("nds"), F.col("nds")).otherwise(F.reverse("nds"))
+    key = F.when(closed, canonical_ring(F.slice("nds", F.lit(1), F.size("nds") - 1))).otherwise(line)
+    rows = ways.select("way_id", closed.alias("closed"), key.alias("key"))
+    return rows.withColumn("new", F.min("way_id").over(Window.partitionBy("closed", "key"))).where("way_id <> new").select(F.col("way_id").alias("old"), "new")
+
+
+def merged_tags(same: DataFrame, tags: DataFrame) -> DataFrame:
+    """(way_id, tags) of ways (way_id, tags) after identical ones (old, new) are one: of a key's values the longest stays, ties to the one that sorts first."""
+    rows = tags.join(same.withColumnRenamed("old", "way_id"), "way_id", "left").select(F.coalesce("new", "way_id").alias("way_id"), "tags")
+    best = rows.select("way_id", F.explode("tags")).groupBy("way_id", "key").agg(F.min(F.struct((-F.length("value")).alias("n"), F.col("value").alias("v"))).alias("b"))
+    lists = best.groupBy("way_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "b.v")))).alias("tags"))
+    none = F.create_map().cast("map<string,string>")
+    return rows.select("way_id").distinct().join(lists, "way_id", "left").select("way_id", F.coalesce("tags", none).alias("tags"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) over links (u, v): the smallest node that is reachable.
 

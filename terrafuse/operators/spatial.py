@@ -11,6 +11,7 @@ from terrafuse.functions.geometry import box_distance
 from terrafuse.plans.cut import cut
 
 # Steps of the expanding search for a house number's parcel, 0 to 3, 4 to 48 by 2, 50 to 195 by 5.
+UNLIMITED = 50
 LADDER = (*range(4), *range(4, 50, 2), *range(50, 200, 5))
 
 
@@ -130,9 +131,13 @@ def best_limits(parcels: DataFrame, limits: DataFrame, size: float, area: float
     return parcels.select("id").join(rows, "id", "left")
 
 
-def ladder_step(distance: Column) -> Column:
-    """The first step of the expanding search that reaches a distance; null beyond the last."""
-    return F.get(F.filter(F.array(*[F.lit(s) for s in LADDER]), lambda s: s >= distance), F.lit(0))
+def ladder_step(distance: Column, limited: Column | None = None) -> Column:
+    """The first step of the expanding search that reaches a distance; null beyond the last.
+
+    A parcel whose limit is not known (limited is false) is searched by its box from the step UNLIMITED on, that much further each time.
+    """
+    first = lambda least: F.get(F.filter(F.array(*[F.lit(s) for s in LADDER if s >= least]), lambda s: s - least >= distance), F.lit(0))
+    return first(0) if limited is None else F.when(limited, first(0)).otherwise(first(UNLIMITED))
 
 
 def greedy_pairs(edges: DataFrame, order: list[str], one_set: bool = False) -> DataFrame:
@@ -159,6 +164,15 @@ def greedy_pairs(edges: DataFrame, order: list[str], one_set: bool = False) -> D
             return taken.select("a", "b", *order)
 
 
+def tiles_by_number(box: DataFrame, n: int, margin: float = 10.0) -> DataFrame:
+    """I, j, x1, y1, x2, y2 of n by n equal tiles over each bounding box (x0, y0, x1, y1) with a margin."""
+    w = box.select(*[c for c in box.columns if c not in ("x0", "y0", "x1", "y1")], (F.col("x0") - margin).alias("ax"), (F.col("y0") - margin).alias("ay"), (F.col("x1") + margin).alias("bx"), (F.col("y1") + margin).alias("by"))
+    steps = F.sequence(F.lit(0), F.lit(n - 1))
+    w = w.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+    at = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) / n * k
+    return w.select("*", *[at(f"a{c}", f"b{c}", F.col(k) + e).alias(f"{c}{e + 1}") for e in (0, 1) for c, k in (("x", "i"), ("y", "j"))]).drop("ax", "ay", "bx", "by")
+
+
 def tiles(box: DataFrame, size: float, margin: float = 10.0) -> DataFrame:
     """I, j, x1, y1, x2, y2 of tiles over each bounding box (x0, y0, x1, y1) with a margin, clipped at its end."""
     w = box.select(*[c for c in box.columns if c not in ("x0", "y0", "x1", "y1")], (F.col("x0") - margin).alias("ax"), (F.col("y0") - margin).alias("ay"), (F.col("x1") + margin).alias("bx"), (F.col("y1") + margin).alias("by"))

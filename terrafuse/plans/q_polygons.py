@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from terrafuse.functions import geometry as G
 from terrafuse.operators import classify as C
 from terrafuse.operators import layers as L
+from terrafuse.operators import graph as R
 from terrafuse.operators import polygons as P
+from terrafuse.operators import spatial as S
 from terrafuse.plans.q_layers import shared_folder
 from terrafuse.plans.q_projections import _ring
 from terrafuse.plans.registry import BX, PT, WAY, query
@@ -140,6 +142,32 @@ def training_table(t):
     return C.load_training(t.spark, folder).select("id", F.size("vector").cast("long").alias("n"), "label")
 
 
+@query(
+    """WITH s AS (SELECT l_orderkey AS way_id, list_sort(list(DISTINCT l_partkey % 7)) AS l FROM lineitem GROUP BY l_orderkey), g AS (SELECT way_id, min(way_id) OVER (PARTITION BY l, way_id % 2) AS new FROM s),
+t AS (SELECT new, 'name' AS k, repeat('n', (way_id % 5 + 1)::INTEGER) AS v FROM g UNION ALL SELECT new, 'kind', CASE WHEN way_id % 3 = 0 THEN 'b' ELSE 'a' END FROM g),
+b AS (SELECT new, k, arg_min(v, {'n': -length(v), 'v': v}) AS v FROM t GROUP BY new, k)
+SELECT new AS way_id, array_to_string(list(k || '=' || v ORDER BY k), ';') AS tags FROM b GROUP BY new"""
+)
+def identical_way_tags(t):
+    """Closed (even) and open (odd) ways of the same nodes turned about, and the tags of each group."""
+    ways = t.lineitem.groupBy(F.col("l_orderkey").alias("way_id")).agg(F.array_sort(F.collect_set(F.col("l_partkey") % 7)).alias("l"))
+    turned = F.when(F.col("way_id") % 4 < 2, F.col("l")).otherwise(F.reverse("l"))
+    nds = F.when((F.col("way_id") % 2 == 0) & (F.size("l") > 0), F.concat(turned, F.slice(turned, F.lit(1), F.lit(1)))).otherwise(turned)
+    ways = ways.select("way_id", nds.alias("nds"), L.tag_map(name=F.repeat(F.lit("n"), (F.col("way_id") % 5 + 1).cast("int")), kind=F.when(F.col("way_id") % 3 == 0, "b").otherwise("a")).alias("tags"))
+    got = R.merged_tags(R.identical_ways(ways), ways.select("way_id", "tags"))
+    return got.select("way_id", F.array_join(F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("tags"))
+
+
+@query(
+    f"""WITH {BX}, b AS (SELECT min(x0) - 10 AS ax, min(y0) - 10 AS ay, max(x1) + 10 AS bx, max(y1) + 10 AS byy FROM bx), g AS (SELECT *, unnest(range(3)) AS i FROM b), h AS (SELECT *, unnest(range(3)) AS j FROM g)
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(ax + (bx - ax) / 3 * i, 6) AS x1, round(ay + (byy - ay) / 3 * j, 6) AS y1, round(ax + (bx - ax) / 3 * (i + 1), 6) AS x2, round(ay + (byy - ay) / 3 * (j + 1), 6) AS y2 FROM h"""
+)
+def tiles_by_number(t):
+    """X06"""
+    box = t.bx.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return S.tiles_by_number(box, 3).select("i", "j", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
 @query(
     """WITH a AS (SELECT l_orderkey AS way, list_sort(list(DISTINCT l_partkey)) AS nodes FROM lineitem GROUP BY 1)
 SELECT 'way' AS kind, way AS id, array_to_string(nodes, ',') AS nodes FROM a UNION ALL SELECT 'node', id, '' FROM (SELECT unnest(nodes) AS id FROM a UNION SELECT p_partkey FROM part)"""

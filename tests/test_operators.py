@@ -320,6 +320,45 @@ def test_cleaning_job(spark):
     assert nodes.count() == 7
 
 
+def test_whole_cleaning(spark):
+    degree = 111194.92664455873
+    square = [(0, 0), (10, 0), (10, 10), (0, 10)]
+    inner = [(3, 3), (6, 3), (6, 6), (3, 6)]
+    twin = [(0.05, 0), (10, 0.05), (10, 10.05), (0, 10)]
+    rows = [(i, x / degree, y / degree, float(x), float(y)) for i, (x, y) in enumerate([*square, *inner, *twin, (20, 5)])]
+    ways = [(1, p, n) for p, n in enumerate([0, 1, 2, 3, 0])] + [(2, p, n) for p, n in enumerate([4, 5, 6, 7, 4])] + [(3, p, n) for p, n in enumerate([9, 8, 11, 10, 9])]
+    nodes, out, same = jobs.clean_all(spark.createDataFrame(rows, "id long, lon double, lat double, x double, y double"), spark.createDataFrame(ways, "way_id long, pos int, node_id long"))
+    assert {r.way_id for r in out.collect()} == {1} and [tuple(r) for r in same.collect()] == [(3, 1)]
+    assert nodes.count() == 4
+    both = spark.createDataFrame([(7, 1), (7, 2), (7, 3)], "relation long, way_id long")
+    _, out, _ = jobs.clean_all(spark.createDataFrame(rows, "id long, lon double, lat double, x double, y double"), spark.createDataFrame(ways, "way_id long, pos int, node_id long"), members=both)
+    assert {r.way_id for r in out.collect()} == {1, 2}
+
+
+def test_angles_at_the_joint_of_a_closed_way(spark):
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 1.0), (3, 9.0, -1.0), (4, 20.0, 0.0)], "id long, x double, y double")
+    closed = [(1, p, n) for p, n in enumerate([1, 3, 2, 1])] + [(2, p, n) for p, n in enumerate([1, 2, 4])]
+    got = {r.id: r.min_angle for r in cleaning.node_angles(nodes, spark.createDataFrame(closed, "way_id long, pos int, node_id long")).collect()}
+    assert got[1] == pytest.approx(math.degrees(2 * math.atan(1 / 9))) and got[4] is None
+
+
+def test_polygon_operators(spark):
+    from terrafuse.operators import polygons as P
+
+    point = "array<struct<x:double,y:double>>"
+    ring = lambda *p: [(float(x), float(y)) for x, y in (*p, p[0])]
+    cells = [(1, ring((x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1))) for x in range(3) for y in range(3) if (x, y) != (1, 1)]
+    (row,) = P.dissolve(spark.createDataFrame(cells, f"place long, ring {point}"), "place").collect()
+    assert row.area == 8 and sorted(len(r) for r in row.rings) == [5, 5]
+    shapes = [(1, ring((0, 0), (4, 0), (4, 4), (0, 4))), (2, ring((0, 0), (4, 4), (4, 0), (0, 4))), (3, ring((0, 0), (10, 0), (10, 10), (5.001, 10), (5, 10.02), (4.999, 10), (0, 10))), (4, ring((0, 0), (1, 0)))]
+    got = {r.id: (len(r.parts), r.area, r.valid) for r in P.repair(spark.createDataFrame(shapes, f"id long, ring {point}"), 0.1).collect()}
+    assert got[1] == (1, 16, True) and got[2] == (2, pytest.approx(8), False) and got[3][0] == 1 and got[4] == (0, 0, False)
+    curve = P.flattened("MLCZ", np.array([(0, 0), (2, 0), (2, 1), (1, 2), (0, 2)], float), 4)
+    assert len(curve) == 1 and len(curve[0]) == 7 and tuple(curve[0][0]) == tuple(curve[0][-1])
+    with pytest.raises(ValueError, match="unknown"):
+        P.flattened("MA", np.zeros((2, 2)))
+
+
 def test_address_job(spark):
     box = "x0 double, y0 double, x1 double, y1 double"
     plots = spark.createDataFrame([(1, "p1", 0.0, 0.0, 20.0, 20.0), (2, "p2", 20.0, 0.0, 40.0, 20.0)], "id long, fid string, " + box)
