@@ -18,8 +18,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df in the shared folder."""
+    """Checkpoint df in the shared folder.
+
+    A checkpointed table keeps the size that its plan was estimated at. In loops that join their own results these estimates are multiplied
+    again and again, up to numbers of millions of digits that the planner works on for minutes, so the rows come back as a table without an estimate.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)

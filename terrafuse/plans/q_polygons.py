@@ -106,20 +106,21 @@ def tiles_in_limit(t):
 
 
 @query(
-    f"""WITH {PT}, r AS (SELECT id, id % 97 AS a, id % 89 + 1000 AS b FROM pt), e AS (SELECT id, a AS p, b AS q FROM r UNION ALL SELECT id, b, a FROM r),
+    f"""WITH {PT}, r AS (SELECT id, CASE WHEN id % 12 < 8 THEN id // 4 ELSE 50000 + id // 3 END AS a, 1000000 + id AS b FROM pt), e AS (SELECT id, a AS p, b AS q FROM r UNION ALL SELECT id, b, a FROM r),
 c AS (SELECT p, count(*) AS n FROM e GROUP BY p), s AS (SELECT id, sum(n - 1) AS meets, count(*) FILTER (n > 1) AS places, arg_max(p, n) AS p FROM e JOIN c USING (p) GROUP BY id)
 SELECT DISTINCT p::DOUBLE AS x, 0.0::DOUBLE AS y FROM s WHERE meets = 3 AND places = 1"""
 )
 def church_crosses(t):
-    """Lines between places of two rows, which meet at their ends."""
+    """Lines that meet by fours or threes at one end."""
     k = F.col("id")
-    rails = t.pt.select("id", (k % 97).cast("double").alias("ax"), F.lit(0.0).alias("ay"), (k % 89 + 1000).cast("double").alias("bx"), F.lit(0.0).alias("by"))
+    start = F.when(k % 12 < 8, F.expr("id div 4")).otherwise(F.expr("50000 + id div 3"))
+    rails = t.pt.select("id", start.cast("double").alias("ax"), F.lit(0.0).alias("ay"), (k + 1000000).cast("double").alias("bx"), F.lit(0.0).alias("by"))
     return L.churches(rails)
 
 
 @query(
     f"""WITH {BX}, r AS (SELECT DISTINCT ON (x0, y0, x1, y1) * FROM bx ORDER BY id)
-SELECT a.id, EXISTS (SELECT 1 FROM r b WHERE a.id <> b.id AND ((a.x0 > b.x0 AND a.x0 < b.x1) OR (a.x1 > b.x0 AND a.x1 < b.x1)) AND ((a.y0 > b.y0 AND a.y0 < b.y1) OR (a.y1 > b.y0 AND a.y1 < b.y1))) AS inner FROM r a"""
+SELECT a.id, EXISTS (SELECT 1 FROM r b WHERE a.id <> b.id AND ((a.x0 >= b.x0 AND a.x0 < b.x1) OR (a.x1 >= b.x0 AND a.x1 < b.x1)) AND ((a.y0 >= b.y0 AND a.y0 < b.y1) OR (a.y1 >= b.y0 AND a.y1 < b.y1))) AS inner FROM r a"""
 )
 def inner_limits(t):
     """A ring with a corner inside another one is inner."""
