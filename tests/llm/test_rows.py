@@ -449,3 +449,78 @@ def test_pipeline(spark):
     assert {r.doc_id for r in pieces} == set(texts) and all(r.n == r.t for r in pieces)
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {r.doc_id for r in rows.select("doc_id").distinct().collect()} == set(texts)
+
+
+def brute_pipeline(rows):
+    """Ids of the texts with letters, and of those of them that are first of their group of near copies, all pairs compared."""
+    with_letters = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    shingles = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := r[1].lower().split()) else set() for r in with_letters]
+    group = list(range(len(with_letters)))
+    for i, a in enumerate(shingles):
+        for j, b in enumerate(shingles[:i]):
+            if group[i] != group[j] and 5 * len(a & b) >= 4 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    firsts = {}
+    for g, r in zip(group, with_letters, strict=True):
+        firsts[g] = min(firsts.get(g, r[0]), r[0])
+    single = [r for r in with_letters if r[0] in set(firsts.values())]
+    return [r[0] for r in with_letters], [r[0] for r in single]
+
+
+def test_pipeline_equals_brute_force(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from terrafuse.llm import langid, packing
+
+    rng = random.Random(21)
+    words = {"aa": "bora tike luma sano piri welo nadu keta".split(), "bb": "schtrom krank vlug zwarp drelk gnorf plitz".split()}
+    rows = []
+    for i in range(90):
+        lang = rng.choice(("aa", "bb"))
+        rows.append((i, " ".join(f"{rng.choice(words[lang])}{rng.choice('xyz')}" for _ in range(rng.randrange(30, 80))), lang if i % 7 else None, f"s{i % 3}", 0))
+    for i in range(90, 110):  # near and exact copies
+        text = rows[i - 90][1].split()
+        if i % 2:
+            text[-1] = "changed"
+        rows.append((i, " ".join(text), rows[i - 90][2], "s1", 0))
+    rows += [(200, None, "aa", "s0", 0), (201, "12 34", "aa", "s0", 0), (202, rows[5][1] + " password: abcdefghij1234 " + "f" * 20, "aa", "s2", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    identified = corpus_pipeline.identify_language(spark, docs, "")
+    model = langid.fit(docs)
+    told = {r[0]: r[1] for r in rows}
+    lettered, single = brute_pipeline(rows)
+    got = {r.doc_id: r.lang for r in identified.collect()}
+    lengths = {i: [sum(model.code_length(langid.grams_of([told[i].encode()], model.order)[0])[:, k]) for k in range(len(model.languages))] for i in lettered}
+    sure = {i for i, b in lengths.items() if 1 / sum(2 ** max(min(b) - x, -1000) for x in b) >= 0.5}
+    assert set(got) == sure and all(got[i] in ("aa", "bb") for i in got)
+    deduped = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(identified.collect(), docs.schema), "")
+    assert sorted(r.doc_id for r in deduped.collect()) == sorted(i for i in single if i in sure) and len(single) < len(lettered)
+    clean = corpus_pipeline.redact_secrets(spark, spark.createDataFrame(deduped.collect(), docs.schema), "")
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    for i, t in texts.items():
+        want, end = "", 0
+        for a, b in sorted((int(s.split(":")[1]), int(s.split(":")[2])) for s in brute_base(told[i]).split(",") if s):
+            if a >= end:
+                want += told[i][end:a] + secrets.MARK
+            end = max(end, b)
+        assert t == want + told[i][end:]
+    cleaned = spark.createDataFrame(clean.collect(), docs.schema)
+    mixed = corpus_pipeline.mix_sources(spark, cleaned, "")
+    drawn = {r.doc_id: (r.source, r.lang, r.topic, r.tokens, r.probability) for r in mixing.sample(cleaned, fraction=100.0).collect()}
+    chosen = {r.doc_id for r in mixed.collect()}
+    assert mixed.columns == docs.columns and chosen <= set(texts) and chosen and len(drawn) == len(texts)
+    cells = Counter()
+    for source, lang, topic, tokens, _ in drawn.values():
+        cells[source, lang, topic] += tokens
+    targets = [mixing.tempered({v: sum(n for k, n in cells.items() if k[m] == v) for v in {k[m] for k in cells}}, mixing.TEMPERATURES[name]) for m, name in enumerate(mixing.MARGINS)]
+    p = brute_raking(cells, targets, mixing.FRACTION * sum(cells.values()))
+    draws = {r.doc_id: ((r.h % (1 << 64)) >> 11) / (1 << 53) for r in cleaned.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(mixing.SEED)).alias("h")).collect()}
+    assert chosen == {i for i in texts if draws[i] < p[drawn[i][:3]]}
+    pieces = corpus_pipeline.pack_sequences(spark, spark.createDataFrame(mixed.collect(), docs.schema), "").orderBy("doc_id", "start").collect()
+    ids = defaultdict(list)
+    for r in pieces:
+        assert r.start == len(ids[r.doc_id])
+        ids[r.doc_id] += r.ids
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    assert ids == {i: [*tok.encode(texts[i], add_special_tokens=False).ids, 1] for i in chosen}
