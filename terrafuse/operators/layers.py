@@ -104,7 +104,8 @@ def churches(rails: DataFrame) -> DataFrame:
 
 
 def inner_rings(rings: DataFrame, size: float) -> DataFrame:
-    """(id, inner) of different city-limit rings (id, ring): a ring is inner if another one holds any of its points. Equal rings count once."""
+    """(id, inner) of different city-limit rings (id, ring): a ring is inner if another one holds any of its points
+    (those on a side may fall either way). Equal rings count once."""
     from terrafuse.functions.geometry import ring_contains
 
     single = rings.groupBy("ring").agg(F.min("id").alias("id"))
