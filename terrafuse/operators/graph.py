@@ -9,11 +9,12 @@ from terrafuse.functions.geometry import canonical_ring
 from terrafuse.plans.cut import cut
 
 
-def touching_ways(way_nodes: DataFrame) -> DataFrame:
-    """(way1, way2, common) for ways that share nodes, way1 < way2, with the number of common nodes."""
-    a = way_nodes.select(F.col("way_id").alias("way1"), "node_id").distinct()
-    b = way_nodes.select(F.col("way_id").alias("way2"), "node_id").distinct()
-    return a.join(b, "node_id").where("way1 < way2").groupBy("way1", "way2").agg(F.count("*").alias("common"))
+def touching_ways(way_nodes: DataFrame, same: str | None = None) -> DataFrame:
+    """(way1, way2, common) for ways that share nodes, way1 < way2, with the number of common nodes; only of ways equal in a column, if it is given."""
+    keys = ["node_id"] if same is None else ["node_id", same]
+    a = way_nodes.select(F.col("way_id").alias("way1"), *keys).distinct()
+    b = way_nodes.select(F.col("way_id").alias("way2"), *keys).distinct()
+    return a.join(b, keys).where("way1 < way2").groupBy("way1", "way2").agg(F.count("*").alias("common"))
 
 
 def node_degrees(way_nodes: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from terrafuse.functions import geometry as G
 from terrafuse.operators import address_files as A
 from terrafuse.operators import layers as L
 from terrafuse.operators import spatial as S
+from terrafuse.plans.q_layers import shared_folder
 from terrafuse.plans.registry import BX, NEAR, PT, query
-from terrafuse.sources import archives, lists
+from terrafuse.sources import archives, glyph_files, lists, osm
 
 
 def _k():
@@ -342,3 +343,43 @@ def zip_roundtrip(t):
     return back.select("path", "name", count("<node ").cast("long").alias("nodes"), (F.when(text.endswith("</osm>\n"), count("<osm ")).otherwise(0)).alias("roots"))
 
 
+@query(
+    """WITH w AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_partkey)) AS l FROM lineitem GROUP BY 1)
+SELECT 'node' AS kind, p_partkey AS id, '' AS refs, 'name=' || p_name || ' & ''<' AS tags FROM part UNION ALL SELECT 'way', id, array_to_string(l, ','), 'kind=w' FROM w
+UNION ALL SELECT 'relation', s_suppkey, 'way:' || (s_suppkey * 7)::VARCHAR || ':outer,way:' || (s_suppkey * 7 + 1)::VARCHAR || ':inner', 'type=multipolygon' FROM supplier"""
+)
+def osm_elements_roundtrip(t):
+    """Nodes, ways and relations as whole documents by file, written and read again."""
+    nodes = t.part.select(F.concat(F.lit("f"), _k() % 5).alias("file"), _k().alias("id"), (_k() % 180).cast("double").alias("lon"), (_k() % 90).cast("double").alias("lat"), L.tag_map(name=F.concat("p_name", F.lit(" & '<"))).alias("tags"))
+    ways = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set("l_partkey")).alias("nds"))
+    ways = ways.select(F.concat(F.lit("f"), F.col("id") % 5).alias("file"), "id", "nds", L.tag_map(kind="w").alias("tags"))
+    member = lambda i, role: F.struct(F.lit("way").alias("type"), (F.col("s_suppkey") * 7 + i).alias("ref"), F.lit(role).alias("role"))
+    relations = t.supplier.select(F.concat(F.lit("f"), F.col("s_suppkey") % 5).alias("file"), F.col("s_suppkey").alias("id"), F.array(member(0, "outer"), member(1, "inner")).alias("members"), L.tag_map(type="multipolygon").alias("tags"))
+    folder = shared_folder(t.spark)
+    archives.documents(nodes, ways, relations).write.partitionBy("file").text(folder)
+    got = osm.read_osm(t.spark, folder)
+    refs = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    rows = got.nodes.select(F.lit("node").alias("kind"), "id", F.lit("").alias("refs"), _text(F.col("tags")).alias("tags"))
+    rows = rows.union(got.ways.select(F.lit("way"), "id", refs("nds"), _text(F.col("tags"))))
+    told = F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["type"], m["ref"].cast("string"), m["role"])), ",")
+    return rows.union(got.relations.select(F.lit("relation"), "id", told, _text(F.col("tags"))))
+
+
+@query("SELECT p_partkey % 9 AS file, p_name || ' \"' || p_partkey::VARCHAR || '<' AS value, 'M 0,0 L ' || p_size::VARCHAR || ',1 Z' AS d FROM part")
+def glyph_library(t):
+    """Glyphs written as SVG documents and read again."""
+    d = F.concat(F.lit("M 0,0 L "), F.col("p_size").cast("string"), F.lit(",1 Z"))
+    rows = t.part.select((_k() % 9).alias("file"), F.concat("p_name", F.lit(' "'), _k().cast("string"), F.lit("<")).alias("value"), d.alias("d"))
+    return glyph_files.read_library(glyph_files.library_document(rows))
+
+
+@query(
+    """SELECT c_custkey, c_custkey % 3 <> 1 AS vector, (c_custkey * 37) % 500 > 300 AS session_over, CASE WHEN c_custkey % 3 <> 1 THEN lpad((c_custkey % 1000)::VARCHAR, 3, '0') END AS code FROM customer"""
+)
+def list_rules(t):
+    """Communes drawn as vectors, and sessions that are over after five minutes."""
+    now = F.to_timestamp(F.lit("2024-01-01 12:00:00"))
+    rows = t.customer.select("c_custkey", F.when(_c() % 3 == 1, "IMAG").otherwise("VECT").alias("format"), F.timestamp_seconds(F.unix_timestamp(now) - (_c() * 37) % 500).alias("last"))
+    drawn = lists.vector_communes(rows).select("c_custkey", F.lit(True).alias("vector"), F.lpad((_c() % 1000).cast("string"), 3, "0").alias("code"))
+    rows = rows.join(drawn, "c_custkey", "left")
+    return rows.select("c_custkey", F.coalesce("vector", F.lit(False)).alias("vector"), lists.expired(F.col("last"), now, 300).alias("session_over"), "code")

@@ -411,5 +411,26 @@ def test_pbf(spark, tmp_path):
     got = {(r.kind, r.id): r for r in items.collect()}
     assert got["node", 5].lat == pytest.approx(48) and got["node", 5].lon == pytest.approx(2) and got["node", 5].tags == {"building": "yes"}
     assert got["node", 3].lat == pytest.approx(-1e-6) and got["way", 70].refs == [5, 3, 5] and got["relation", 80].types == ["way"]
-    ways, nodes = pbf.cadastre_buildings(items)
+    ways, nodes = pbf.registry_buildings(items)
     assert {r.id for r in ways.collect()} == {70, 71} and {r.id for r in nodes.collect()} == {5, 3, 9}
+
+
+def test_multipolygons_of_a_document(spark, tmp_path):
+    tag = "<tag k='type' v='multipolygon'/>"
+    text = (
+        "<osm><node id='1' lat='0' lon='0'/><node id='2' lat='0' lon='1'/><way id='5'><nd ref='1'/><nd ref='2'/></way>"
+        f"<relation id='7'><member type='way' ref='5' role='outer'/><member type='way' ref='6' role='inner'/>{tag}</relation><relation id='8'><member type='way' ref='5' role=''/></relation>{{}}</osm>"
+    )
+    (tmp_path / "a.osm").write_text(text.format(""))
+    got = osm.multipolygons(osm.read_osm(spark, str(tmp_path / "a.osm")))
+    assert [(r.id, [m.ref for m in r.members]) for r in got.relations.collect()] == [(7, [5])]
+    (tmp_path / "b.osm").write_text(text.format("<way id='9'><nd ref='1'/><nd ref='44'/></way>"))
+    with pytest.raises(ValueError, match="no node 44"):
+        osm.multipolygons(osm.read_osm(spark, str(tmp_path / "b.osm")))
+
+
+def test_upright_documents(spark):
+    from terrafuse.sources import glyph_files
+
+    got = spark.createDataFrame([("<svg a='1'><g id='x'><path d='M0 0'/></g></svg>",)], "t string").select(glyph_files.upright(F.col("t")).alias("t")).first().t
+    assert got == "<svg a='1'><g transform=\"scale(1,-1)\"><path d='M0 0'/></g></svg>"
