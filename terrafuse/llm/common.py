@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from terrafuse.functions.core import let
 from terrafuse.plans.cut import cut
 
-__all__ = ["SPACES", "SPACE_CLASS", "cut", "fresh", "give_back", "hot_join", "let", "slices", "table", "words_of"]
+__all__ = ["SPACES", "SPACE_CLASS", "cut", "fresh", "give_back", "hot_join", "let", "slices", "table", "tidy", "words_of"]
 
 #: Characters between words: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
@@ -67,6 +67,12 @@ def hot_join(rows: DataFrame, side: DataFrame, key: str, n: str = "n") -> DataFr
     return rows.join(F.broadcast(large), key).unionByName(rows.join(small, key))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of the shuffles and checkpoints of tables that are no longer used, which else stay on disk until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def give_back() -> None:
     """Return freed memory to the system at the end of a task: a Python worker that is used again would keep the task's peak."""
     gc.collect()
