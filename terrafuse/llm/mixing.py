@@ -25,8 +25,10 @@ ROUNDS, TOLERANCE = 200, 1e-8
 #: Up to so many cells are raked in the driver's memory (a few MB); more by the same steps as a table.
 DRIVER_CELLS = 100_000
 NONE = "(none)"
-#: Topics of a language, the size of the hashed term vectors that they are clusters of, and the documents that they are fitted on at most.
-TOPICS, TERMS, TOPIC_SAMPLE, TOPIC_ROUNDS = 4, 512, 4096, 12
+#: Topics of a language, the size of the hashed term vectors that they are clusters of, and the rounds of the clustering at most.
+TOPICS, TERMS, TOPIC_ROUNDS = 4, 512, 12
+#: One in the fixed point of vectors that are summed up.
+FIXED = 1 << 24
 
 
 def _term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,27 +59,6 @@ class Topics:
     def of(self, counts: np.ndarray) -> np.ndarray:
         return (self.vectors(counts) @ self.centers.T).argmax(axis=1)
 
-    @classmethod
-    def fit(cls, counts: np.ndarray) -> Topics:
-        """Spherical k-means; topics are numbered from the largest cluster on."""
-        weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(1e-3)
-        model = cls(weights, np.empty((0, TERMS), np.float32))
-        x = model.vectors(counts)
-        k = max(1, min(TOPICS, len(x) // 8))
-        rng = np.random.default_rng(SEED)
-        centers = x[[rng.integers(len(x))]] if len(x) else x
-        while 0 < len(centers) < k:  # the next center is drawn among what is unlike the ones so far
-            unlike = np.maximum(1 - (x @ centers.T).max(axis=1), 0) ** 2 + 1e-12
-            centers = np.concatenate([centers, x[[rng.choice(len(x), p=unlike / unlike.sum())]]])
-        own = np.empty(0, int)
-        for _ in range(TOPIC_ROUNDS):
-            own = (x @ centers.T).argmax(axis=1)
-            sums = np.zeros_like(centers)
-            np.add.at(sums, own, x)
-            centers = np.where((sums != 0).any(axis=1, keepdims=True), sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), centers)
-        model.centers = centers[np.argsort(-np.bincount(own, minlength=k), kind="stable")]
-        return model
-
 
 def topic_numbers(models: dict[str, Topics], langs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The topic of each text among those of its language (0 for a language without a model); -1 for a text without words."""
@@ -89,32 +70,123 @@ def topic_numbers(models: dict[str, Topics], langs: np.ndarray, counts: np.ndarr
     return np.where(counts.any(axis=1), out, -1)
 
 
-def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, Topics]:
-    """Topics of each language from a bounded sample of documents (TOPIC_SAMPLE), drawn by a hash of id and text.
+def _packed(counts: np.ndarray) -> pa.Array:
+    """The terms of each text that are there, as count * TERMS + term in eight bytes each."""
+    row, col = np.nonzero(counts)
+    ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(counts)))] * 8
+    values = counts[row, col].astype(np.uint64) * np.uint64(TERMS) + col.astype(np.uint64)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
 
-    Topics are parted by language, whose words would else be the clusters, and a topic margin would only repeat the language's.
-    Just term vectors of the sample come to the driver (2 KB each), and a document that repeats counts once.
-    """
-    drawn_at, total = 1 << 30, max(1, docs.count())
-    hashed = F.xxhash64(docs[id_col].cast("string"), docs[text_col].cast("string"), F.lit(SEED + 1))
-    rows = docs.select(hashed.alias("h"), F.coalesce(docs[lang_col].cast("string"), F.lit(NONE)).alias("lang"), docs[text_col].cast("string").alias("text"))
-    rows = rows.where(F.pmod("h", F.lit(drawn_at)) < int(drawn_at * min(1.0, 1.25 * TOPIC_SAMPLE / total)) + 1)
+
+def _unpacked(terms: pa.Array) -> np.ndarray:
+    values = np.frombuffer(b"".join(terms.to_pylist()), np.uint64).astype(np.int64)
+    counts = np.zeros((len(terms), TERMS), np.float32)
+    counts[np.repeat(np.arange(len(terms)), pc.binary_length(terms).to_numpy() // 8), values % TERMS] = values // TERMS
+    return counts
+
+
+def _counted(rows: DataFrame, read: str, terms: str, tokens: str) -> DataFrame:
+    """rows with the terms and the number of words of the text in the column read, which goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                counts, _ = _term_counts(part.column("text"))
-                ends = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * TERMS)
-                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("lang"), pa.ListArray.from_arrays(ends, pa.array(counts.ravel()))], ["h", "lang", "v"])
+            for part in slices(batch, read):
+                counts, n = _term_counts(part.column(read))
+                rest = part.drop_columns([read])
+                yield pa.RecordBatch.from_arrays([*rest.columns, _packed(counts), pa.array(n, pa.int64())], [*rest.schema.names, terms, tokens])
         give_back()
 
-    one = rows.mapInArrow(run, "h long, lang string, v array<float>").groupBy("h").agg(F.min("lang").alias("lang"), F.min("v").alias("v"))
-    got = one.orderBy("h").limit(TOPIC_SAMPLE).toArrow()
-    if not got.num_rows:
-        return {}
-    counts = got["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, TERMS)
-    langs, real = got["lang"].to_numpy(), counts.any(axis=1)
-    return {lang: Topics.fit(counts[real & (langs == lang)]) for lang in sorted(set(langs[real]))}
+    fields = [*rows.drop(read).schema.fields, T.StructField(terms, T.BinaryType()), T.StructField(tokens, T.LongType())]
+    return rows.mapInArrow(run, T.StructType([T.StructField(x.name, x.dataType) for x in fields]))
+
+
+def _totals(vectors: DataFrame, models: dict[str, Topics], step: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each language, over all its texts (h, lang, terms) with words: a text that is drawn, sums and numbers of texts by topic.
+
+    Without a model the sums are the numbers of texts that hold a term. With one they are those of the vectors in fixed point, which come out the same
+    in any order, and a text is drawn the likelier the less it is like the centers.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list] = {}
+        for batch in batches:
+            for part in (batch.slice(at, 2048) for at in range(0, len(batch), 2048)):
+                langs, counts = np.array(part.column("lang").to_pylist(), object), _unpacked(part.column("terms"))
+                h = part.column("h").to_numpy().view(np.uint64) ^ np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64))
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                race = -np.log(((h >> np.uint64(11)) + 1.0) / ((1 << 53) + 2.0))
+                real = counts.any(axis=1)
+                for lang in set(langs[real]):
+                    at = np.flatnonzero(real & (langs == lang))
+                    if lang in models:
+                        x = models[lang].vectors(counts[at])
+                        near = x @ models[lang].centers.T
+                        own, key = near.argmax(axis=1), race[at] / (np.maximum(1 - near.max(axis=1), 0) ** 2 + 1e-12)
+                        values = np.rint(x * float(FIXED)).astype(float)
+                    else:
+                        own, key, values = np.zeros(len(at), int), race[at], (counts[at] > 0).astype(float)
+                    belongs = (own[None, :] == np.arange(TOPICS)[:, None]).astype(float)
+                    sums, n = (belongs @ values).astype(np.int64).ravel(), belongs.sum(axis=1).astype(np.int64)
+                    first = int(key.argmin())
+                    best = (float(key[first]), part.column("terms")[int(at[first])].as_py())
+                    old = found.get(lang)
+                    found[lang] = [best, sums, n] if old is None else [min(old[0], best), old[1] + sums, old[2] + n]
+        rows = [(lang, *best, sums, n) for lang, (best, sums, n) in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
+        give_back()
+
+    def merged(table: pa.Table) -> pa.Table:
+        best = min(zip(table["race"].to_pylist(), table["drawn"].to_pylist(), strict=True))
+        sums, n = (np.sum([x.values.to_numpy() for x in table[c]], axis=0) for c in ("sums", "n"))
+        return pa.table([pa.array(list(c), k) for c, k in zip(([table["lang"][0].as_py()], [best[0]], [best[1]], [sums], [n]), kinds, strict=True)], names)
+
+    names, kinds = ["lang", "race", "drawn", "sums", "n"], [pa.string(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    kind = "lang string, race double, drawn binary, sums array<long>, n array<long>"
+    got = vectors.select("h", "lang", "terms").mapInArrow(partial, kind).groupBy("lang").applyInArrow(merged, kind).collect()
+    return {r.lang: (_unpacked(pa.array([bytes(r.drawn)])), np.array(r.sums).reshape(TOPICS, TERMS), np.array(r.n)) for r in got}
+
+
+def _fitted(vectors: DataFrame) -> dict[str, Topics]:
+    """Topics of each language by spherical k-means of all its texts (h, lang, terms); numbered from the largest cluster on."""
+    models, most = {}, {}
+    for lang, (drawn, held, n) in _totals(vectors, {}, 0).items():
+        weights = np.log((1 + n.sum()) / (1 + held.sum(axis=0))).astype(np.float32) + np.float32(1e-3)
+        models[lang] = Topics(weights, np.empty((0, TERMS), np.float32))
+        models[lang].centers = models[lang].vectors(drawn)
+        most[lang] = max(1, min(TOPICS, int(n.sum()) // 8))
+    for step in range(1, max(most.values(), default=1)):  # the next center is drawn among what is unlike the ones so far
+        for lang, (drawn, _, _) in _totals(vectors, models, step).items():
+            if len(models[lang].centers) < most[lang]:
+                models[lang].centers = np.concatenate([models[lang].centers, models[lang].vectors(drawn)])
+    sizes: dict[str, np.ndarray] = {}
+    for _ in range(TOPIC_ROUNDS if models else 0):
+        moved = False
+        for lang, (_, sums, n) in _totals(vectors, models, 0).items():
+            old, k = models[lang].centers, len(models[lang].centers)
+            unit = sums[:k] / np.maximum(np.linalg.norm(sums[:k].astype(float), axis=1, keepdims=True), 1e-12)
+            models[lang].centers = np.where((sums[:k] != 0).any(axis=1, keepdims=True), unit, old).astype(np.float32)
+            moved |= not np.array_equal(models[lang].centers, old)
+            sizes[lang] = n[:k]
+        if not moved:
+            break
+    for lang, n in sizes.items():
+        models[lang].centers = models[lang].centers[np.argsort(-n, kind="stable")]
+    return models
+
+
+def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, Topics]:
+    """Topics of each language from all documents; repeated rows count as often as they come.
+
+    Topics are parted by language, whose words would else be the clusters, and a topic margin would only repeat the language's.
+    Texts are read once, for their term vectors; of these only totals by language and topic (16 KB each) come to the driver.
+    """
+    text = docs[text_col].cast("string")
+    rows = docs.select(_drawn_by(docs[id_col], text), F.coalesce(docs[lang_col].cast("string"), F.lit(NONE)).alias("lang"), text.alias("text"))
+    return _fitted(cut(_counted(rows, "text", "terms", "tokens")))
+
+
+def _drawn_by(key: Column, text: Column) -> Column:
+    return F.xxhash64(key.cast("string"), text, F.lit(SEED + 1)).alias("h")
 
 
 @dataclass
@@ -229,7 +301,7 @@ def sample(
     if a hash of its id and text falls below its cell's probability, so draws are independent of
     each other, of the partitioning and of retries. Expected sampled tokens meet the targets as far as the
     tokens there allow. Without a topic column topics are clusters
-    of hashed terms within a language, fitted on a bounded sample.
+    of hashed terms within a language, fitted on all documents.
     Nulls are the value "(none)" of their margin, and so is the topic of a text without words; a null or blank text has no tokens
     and is drawn with its cell (with `fraction` if the whole cell has none). Repeated rows share their draw. No rows give no rows.
     """
@@ -244,24 +316,28 @@ def sample(
     if topic is not None:
         tagged = docs.select(*carried, *keys, name(topic).alias(o_topic), F.size(words_of(text)).cast("long").alias(o_tokens))
     else:
-        models, read = fit_topics(docs, id_col, text_col, lang_col), fresh(docs, "mix_text")
-        rows = docs.select(*carried, *keys, text.alias(read))
+        read, terms, h = (fresh(docs, f"mix_{x}") for x in ("text", "terms", "h"))
+        # written down: every text is read once, for its cell and for its draw
+        vectors = cut(_counted(docs.select(*carried, *keys, _drawn_by(docs[id_col], text).alias(h), text.alias(read)), read, terms, o_tokens))
+        models = _fitted(vectors.select(F.col(h).alias("h"), F.col(o_lang).alias("lang"), F.col(terms).alias("terms")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = pa.array([*(f"t{i}" for i in range(TOPICS)), NONE])
             for batch in batches:
-                for part in slices(batch, read):
-                    counts, n = _term_counts(part.column(read))
-                    topics = topic_numbers(models, np.array(part.column(o_lang).to_pylist(), object), counts)
-                    columns = [*part.drop_columns([read]).columns, names.take(pa.array(np.where(topics < 0, len(names) - 1, topics))), pa.array(n, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, [*part.drop_columns([read]).schema.names, o_topic, o_tokens])
+                for part in (batch.slice(at, 2048) for at in range(0, len(batch), 2048)):
+                    topics = topic_numbers(models, np.array(part.column(o_lang).to_pylist(), object), _unpacked(part.column(terms)))
+                    rest = part.drop_columns([terms, h] if h in part.schema.names else [terms])
+                    yield pa.RecordBatch.from_arrays([*rest.columns, names.take(pa.array(np.where(topics < 0, len(names) - 1, topics)))], [*rest.schema.names, o_topic])
             give_back()
 
-        kinds = [*rows.drop(read).schema.fields, T.StructField(o_topic, T.StringType()), T.StructField(o_tokens, T.LongType())]
-        tagged = rows.mapInArrow(run, T.StructType([T.StructField(x.name, x.dataType) for x in kinds]))
-    # written down: every text is read once, for its cell and for its draw
-    tagged = cut(tagged)
-    cells = calibrate(tagged.select(*[F.col(n).alias(m) for n, m in zip(own, (*MARGINS, "tokens"), strict=False)]), targets, fraction, driver_cells)
+        def with_topic(rows: DataFrame) -> DataFrame:
+            kinds = [*rows.drop(terms, h).schema.fields, T.StructField(o_topic, T.StringType())]
+            return rows.mapInArrow(run, T.StructType([T.StructField(x.name, x.dataType) for x in kinds]))
+
+        tagged, keyed = with_topic(vectors), with_topic(vectors.select(o_source, o_lang, terms, o_tokens))
+    if topic is not None:
+        tagged = keyed = cut(tagged)
+    cells = calibrate(keyed.select(*[F.col(n).alias(m) for n, m in zip(own, (*MARGINS, "tokens"), strict=False)]), targets, fraction, driver_cells)
     probability = fresh(tagged, "probability")
     side = cells.cells.select(*[F.col(m).alias(n) for m, n in zip(MARGINS, own, strict=False)], F.col("probability").alias(probability))
     joined = tagged.join(F.broadcast(side) if cells.small else side, own[:3]).where(F.col(o_draw) < F.col(probability))
