@@ -179,16 +179,132 @@ BY_WORD = (
 )
 
 
+#: What a model may say besides its vocabulary, merges and suffix for `Merges` to give its ids.
+PLAIN_BPE = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def byte_signs() -> list[str]:
+    """The characters that stand for bytes: a byte's sign is itself if it can be printed, else the next one from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+
+class Merges:
+    """Byte-pair merging of many pre-tokens at once: always the pair of lowest rank, of equal ones the leftmost, as the model itself does.
+
+    Pre-tokens of one length are the columns of a matrix. A step merges one pair in each column, which so gets to the
+    next smaller length and joins those that had it from the start; columns without a pair are done.
+    """
+
+    LONGEST = 64
+    NONE = (1 << 25) - 1  # rank of what is no pair: ranks and positions share 31 bits
+    FREE = np.uint64(2**64 - 1)
+
+    def __init__(self, model: dict):
+        vocab, signs, end = model["vocab"], byte_signs(), model["end_of_word_suffix"] or ""
+        self.byte = np.array([vocab[c] for c in signs] + [vocab[c + end] for c in signs], np.int32)  # from 256 on, last bytes of pre-tokens
+        rank = {(vocab[a], vocab[b]): i for i, (a, b) in enumerate(model["merges"])}
+        self.made = np.array([vocab[a + b] for a, b in model["merges"]], np.int32)
+        self.base = np.uint64(max(vocab.values()) + 1)
+        pairs, ranks = np.array(list(rank), np.uint64).reshape(-1, 2), np.array(list(rank.values()), np.int32)
+        # an open hash table of the pairs, at most a quarter full
+        bits = (4 * len(ranks) + 1).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ranks = np.full(1 << bits, self.FREE), np.full(1 << bits, self.NONE, np.int32)
+        keys = pairs[:, 0] * self.base + pairs[:, 1]
+        slot, left = self.slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] == self.FREE]
+            self.keys[slot[free]] = keys[free]
+            placed = self.keys[slot[left]] == keys[left]
+            self.ranks[slot[left[placed]]] = ranks[left[placed]]
+            left = left[~placed]
+            slot[left] = (slot[left] + 1) & self.mask
+        self.of_bytes = self.rank(np.repeat(self.byte[:256], 512), np.tile(self.byte, 256))
+
+    @staticmethod
+    def can(model: dict) -> bool:
+        if any(model.get(k) != v for k, v in PLAIN_BPE.items()) or len(model["merges"]) >= Merges.NONE:
+            return False
+        end = model["end_of_word_suffix"] or ""
+        return all(c in model["vocab"] and c + end in model["vocab"] for c in byte_signs())
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.uint64) * self.base + right.astype(np.uint64)
+        slot = self.slot(keys)
+        there = self.keys[slot]
+        found = np.where(there == keys, self.ranks[slot], np.int32(self.NONE))
+        more = np.flatnonzero((there != keys) & (there != self.FREE))
+        while len(more):
+            slot[more] = at = (slot[more] + 1) & self.mask
+            there = self.keys[at]
+            hit = there == keys[more]
+            found[more[hit]] = self.ranks[at[hit]]
+            more = more[~hit & (there != self.FREE)]
+        return found
+
+    def __call__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each pre-token has, and all of them; pre-token i is the 1 to LONGEST bytes of data from start[i] on."""
+        code = data.astype(np.int32)
+        code[start + size - 1] += 256
+        order = np.argsort(size, kind="stable")
+        bounds = np.searchsorted(size[order], np.arange(self.LONGEST + 2))
+        longest = int(size.max(initial=0))
+        who, ids, rank = np.empty(0, np.int64), np.empty((longest, 0), np.int32), np.empty((max(longest - 1, 0), 0), np.int32)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        for n in range(longest, 0, -1):
+            row = np.arange(n, dtype=np.int32)[:, None]
+            own = order[bounds[n] : bounds[n + 1]]
+            if len(own):
+                c = code[start[own] + row]
+                who, ids = np.concatenate([who, own]), np.concatenate([ids, self.byte[c]], axis=1)
+                rank = np.concatenate([rank, self.of_bytes[c[:-1] * 512 + c[1:]]], axis=1)
+            if n == 1:
+                done.append((who, ids))
+                break
+            best = ((rank << 6) | row[:-1]).min(axis=0, initial=self.NONE << 6)
+            ends = best == self.NONE << 6
+            if ends.any():
+                done.append((who[ends], ids[:, ends]))
+                who, ids, rank, best = who[~ends], ids[:, ~ends], rank[:, ~ends], best[~ends]
+            at, new = best & 63, self.made[best >> 6]
+            before = row[:-1] < at
+            ids = np.where(before, ids[:-1], ids[1:])
+            ids[at, np.arange(len(at))] = new
+            rank = np.where(before[:-1], rank[:-1], rank[1:])
+            i = np.flatnonzero(at > 0)
+            rank[at[i] - 1, i] = self.rank(ids[at[i] - 1, i], new[i])
+            i = np.flatnonzero(at < n - 2)
+            rank[at[i], i] = self.rank(new[i], ids[at[i] + 1, i])
+        number = np.zeros(len(size), np.int64)
+        for who, ids in done:
+            number[who] = len(ids)
+        first = np.cumsum(number) - number
+        flat = np.empty(int(number.sum()), np.int32)
+        for who, ids in done:
+            flat[first[who] + np.arange(len(ids))[:, None]] = ids
+        return number, flat
+
+
 class WordIds:
     """Token ids of whole texts, equal to those of the plain tokenizer.
 
-    With a tokenizer that is known to fold case and to part words each distinct word is encoded once: the new words of a
-    slice go to the tokenizer in long lines, parted by a mark, whose id then tells where each word's ids end. Known
-    words are kept up to a number. Texts that hold a special token's string, and all texts of other tokenizers, are encoded whole.
+    With a tokenizer that is known to fold case and to part words each distinct word of a slice is encoded once. Words of
+    plain characters are merged together here. The others go to the tokenizer in long lines, parted by a mark, whose id then
+    tells where each word's ids end, and are kept up to a number. Texts that hold a special token's string, and all texts
+    of other tokenizers, are encoded whole.
     """
 
     MARK = "\x01"
     LINE = 512
+    #: Printable ASCII without the apostrophe, which contractions are cut at, and Latin letters that are a normal form already and have one lower case.
+    PLAIN = "^[!-&(-~\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*$"
+    #: Kinds of bytes in plain words: 0 of letters, 1 digits, 2 others.
+    KIND = np.array([0 if b >= 128 or chr(b).isalpha() else 1 if chr(b).isdigit() else 2 for b in range(256)], np.uint8)
 
     def __init__(self, path: str, end_id: int, cached: int = 200_000):
         from tokenizers import Tokenizer
@@ -202,23 +318,18 @@ class WordIds:
         self.by_word = (rules["normalizer"], rules["pre_tokenizer"]) == BY_WORD and not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in rules["added_tokens"])
         if not self.by_word:
             return
+        self.merges = Merges(rules["model"]) if Merges.can(rules["model"]) else None
         # words are lower-cased before, which may make a special token's string of another one: here these are ordinary text
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        one = lambda c: self.tokenizer.encode(c, add_special_tokens=False).ids
-        (self.mark_id,) = one(self.MARK)
-        self.stops = {c: one(c)[0] for c in ".,"}
-        # a byte's sign is itself if it can be printed, else the next one from 256 on
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        self.signs = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        (self.mark_id,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int32)
 
-    def encode(self, words: list[str]) -> tuple[list[int], np.ndarray]:
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, one after the other, and how many each has."""
         lines = [f" {self.MARK} ".join([*words[i : i + self.LINE], ""]) for i in range(0, len(words), self.LINE)]
         found = self.tokenizer.encode_batch(lines, add_special_tokens=False)
@@ -226,39 +337,38 @@ class WordIds:
         at = np.flatnonzero(ids == self.mark_id)
         return ids[ids != self.mark_id], np.diff(np.r_[-1, at]) - 1
 
-    def letters(self, word: str) -> list[int] | None:
-        """Ids of a word of plain Latin letters with a final stop or comma at most, straight from the model; None for other words.
-
-        Such letters are a normal form already and one pre-token, so that only case and byte signs are left to map.
-        """
-        tail = self.stops.get(word[-1:])
-        stem = word if tail is None else word[:-1]
-        if not stem.isalpha() or max(stem) >= "\u0250":
-            return None
-        if not stem.isascii():
-            stem = "".join([c.lower() for c in stem])
-            if not stem.isalpha():
-                return None
-            stem = stem.encode().decode("latin-1").translate(self.signs)
-        ids = [t.id for t in self.model.tokenize(stem)]
-        return ids if tail is None else [*ids, tail]
-
     def learn(self, words: list[str]) -> None:
-        plain, odd, size, flat = [], [], [], []
+        plain, odd = [], []
         for w in words:
-            ids = self.letters(w)
-            if ids is None:
-                (odd if self.MARK in w else plain).append(w)
-            else:
-                self.known[w] = len(self.known)
-                size.append(len(ids))
-                flat += ids
+            (odd if self.MARK in w else plain).append(w)
         ids, sizes = self.encode(plain)
         alone = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch(odd, add_special_tokens=False)]
         for w in (*plain, *odd):
             self.known[w] = len(self.known)
-        self.size = np.concatenate([self.size, np.array(size, np.int64), sizes, np.array([len(x) for x in alone], np.int64)])
-        self.flat = np.concatenate([self.flat, np.array(flat, np.int32), ids, *alone])
+        self.size = np.concatenate([self.size, sizes, np.array([len(x) for x in alone], np.int64)])
+        self.flat = np.concatenate([self.flat, ids, *alone])
+
+    def merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words are plain and short enough, how many ids each of these has, and all of them."""
+        if self.merges is None:
+            return np.zeros(len(words), bool), np.empty(0, np.int64), np.empty(0, np.int32)
+        words = words.cast(pa.string())  # offsets of 32 bits
+        can = pc.match_substring_regex(words, self.PLAIN).to_numpy(zero_copy_only=False)
+        texts = pc.utf8_lower(words.filter(pa.array(can)))  # which may take more bytes
+        short = pc.less_equal(pc.binary_length(texts), Merges.LONGEST).to_numpy(zero_copy_only=False)
+        if not short.all():
+            can[can], texts = short, texts.filter(pa.array(short))
+        ends = np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy())].astype(np.int64)
+        first = int(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset]) if len(texts) else 0
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[first : first + ends[-1]]
+        # pre-tokens are runs of letters, runs of other signs, and single digits
+        kind = self.KIND[data]
+        starts = np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == 1)][: len(data)]
+        starts[ends[:-1][np.diff(ends) > 0]] = True
+        start = np.flatnonzero(starts)
+        number, ids = self.merges(data, start, np.diff(np.r_[start, len(data)]))
+        upto = np.r_[0, np.cumsum(number)][np.searchsorted(start, ends)]
+        return can, np.diff(upto), ids
 
     def whole(self, text: str | None) -> np.ndarray:
         return np.array([*self.plain.encode(text or "", add_special_tokens=False).ids, *self.end_id], np.int32)
@@ -279,17 +389,22 @@ class WordIds:
     def _of_words(self, texts: pa.Array) -> Iterator[np.ndarray]:
         words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        can, size, flat = self.merged(coded.dictionary)
+        distinct = coded.dictionary.filter(pa.array(~can)).to_pylist()
         if len(self.known) + len(distinct) > self.cached:
             self.forget()
         if new := [w for w in distinct if w not in self.known]:
             self.learn(new)
-        row = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        first = np.cumsum(self.size) - self.size
-        row = row[coded.indices.to_numpy(zero_copy_only=False)]
-        n = self.size[row]
+        sizes = np.concatenate([size, self.size])
+        flat = np.concatenate([flat, self.flat])
+        first = np.cumsum(sizes) - sizes
+        place = np.empty(len(can), np.int64)
+        place[can] = np.arange(len(size))
+        place[~can] = len(size) + np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        row = place[coded.indices.to_numpy(zero_copy_only=False)]
+        n = sizes[row]
         ends = np.r_[0, np.cumsum(n)]
-        ids = self.flat[np.repeat(first[row] - ends[:-1], n) + np.arange(ends[-1])] if len(row) else self.flat[:0]
+        ids = flat[np.repeat(first[row] - ends[:-1], n) + np.arange(ends[-1])]
         bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             yield np.concatenate([ids[a:b], self.end_id])

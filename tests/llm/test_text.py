@@ -1,11 +1,15 @@
 """Language ID, token counts, packing and quality rules against brute force."""
 
+import json
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -208,6 +212,39 @@ def test_special_strings_and_other_tokenizers(spark, name):
     check_pieces(rows, texts, packing.Limits(), path=path)
 
 
+def word_texts(seed, signs, n=400):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices(signs, k=rng.randint(1, 20))) for _ in range(n * 10)] + ["a" * 70, "\u023a" * 33, "!" * 64, "12345", "ab.$$$,c"]
+    return ["  ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(n)]
+
+
+def test_plain_words_are_merged_without_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    texts = word_texts(3, [*map(chr, range(0x41, 0x7F)), "the", "ing", "re", "\xe9", "\xdc", "\u0151", "..", "$$"])
+    texts = [t.replace("a" * 70, "a" * 60).replace("\u023a" * 33, "\u023a" * 21) for t in texts]
+    ids = packing.WordIds(path, 1)
+    ids.tokenizer = ids.model = None  # no word is left to it
+    plain = Tokenizer.from_file(path)
+    for kind in (pa.string(), pa.large_string()):
+        assert [x.tolist() for x in ids(pa.array(texts, kind))] == [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+@pytest.mark.parametrize("model", [{}, {"ignore_merges": True}, {"end_of_word_suffix": None, "merges": [["t", "h"], ["a", "a"], ["aa", "a"], ["h", "e"], ["th", "e"]]}])
+def test_words_get_the_ids_of_the_plain_tokenizer(tmp_path, model):
+    from tokenizers import Tokenizer
+
+    rules = json.loads(Path(packing.default_tokenizer()).read_text())
+    rules["model"] |= model
+    (path := tmp_path / "t.json").write_text(json.dumps(rules))
+    plain = Tokenizer.from_file(str(path))
+    every = [chr(c) for c in range(0x250)]
+    texts = [*every, *(f"ab{c}cd.{c} {c}{c}" for c in every), *word_texts(5, [*every[0x21:], "the", "a", "\u03a3", "\u0301", "\u4e2d", "\U0001f600", "'s"]), "", None]
+    got = [x.tolist() for x in packing.WordIds(str(path), 1, cached=500)(pa.array(texts))]
+    assert got == [[*plain.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_examples_stay_whole(spark):
     rng = np.random.default_rng(4)
     rows = [(i, int(n), int(rng.integers(0, n + 1))) for i, n in enumerate(rng.integers(1, 700, 900))] + [(900, 5000, 1), (901, None, 1), (902, 5, 1500), (903, -1, 0)]
