@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafuse.functions.geometry import direction_end, rings_intersect
+from terrafuse.functions.geometry import direction_end
+from terrafuse.operators import tiles as T
 from terrafuse.operators.graph import connected_components
-from terrafuse.operators.spatial import cell
+from terrafuse.plans.cut import cut
 
 # Symbols of the registry's drawings, and the area in square metres up to which a basin is a pool.
 CHURCH, CEMETERY, WATER, BASIN, POOL_AREA, LIGHT = 14, 51, 34, 65, 150, 2
@@ -83,14 +86,21 @@ def name_nodes(names: DataFrame, source: str) -> DataFrame:
 def merge_touching(shapes: DataFrame, key: str, size: float) -> DataFrame:
     """(id, first): shapes (id, ring, key) that a chain of touching shapes of the same key connects, by the smallest id of the chain.
 
-    Rings are repeated for the grid cells of their boxes, and a pair of one cell is tested exactly.
+    Tiles find the chains inside them, without looking at the pairs of one chain, and these are connected by the shapes that they share.
     """
     low, high = (lambda c, f=f: f(F.transform("ring", lambda p: p[c])) for f in (F.array_min, F.array_max))
-    span = lambda c: F.explode(F.sequence(cell(low(c), size), cell(high(c), size)))
-    rows = shapes.select("id", "ring", F.col(key).alias("k")).withColumn("cx", span("x")).withColumn("cy", span("y"))
-    other = rows.select(F.col("id").alias("id2"), F.col("ring").alias("ring2"), "k", "cx", "cy")
-    pairs = rows.join(other, ["k", "cx", "cy"]).where("id < id2").dropDuplicates(["id", "id2"]).where(rings_intersect(F.col("ring"), F.col("ring2")))
-    parts = connected_components(pairs.select(F.col("id").alias("u"), F.col("id2").alias("v")))
+    rows = cut(shapes.select("id", "ring", F.col(key).alias("k"), low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1")).where("k is not null"))
+    kind = dict(shapes.dtypes)["id"]
+
+    def linked(batch: pa.Table) -> pa.Table:
+        ids = T.column(batch, "id")
+        first = T.chains(T.Rings(batch["ring"]))
+        rest = np.flatnonzero(first != np.arange(len(ids)))
+        return pa.table({"u": ids[rest], "v": ids[first[rest]]})
+
+    by = ["k", "cx", "cy"]
+    links = T.spread(T.placed(rows, T.tile_size(rows.select(F.col("x0").alias("x"), F.col("y0").alias("y")), rows, 2 * T.ROWS)), *by).groupBy(*by).applyInArrow(linked, f"u {kind}, v {kind}")
+    parts = connected_components(links)
     return shapes.select("id").join(parts, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("first"))
 
 
@@ -106,12 +116,40 @@ def churches(rails: DataFrame) -> DataFrame:
 def inner_rings(rings: DataFrame, size: float) -> DataFrame:
     """(id, inner) of different city-limit rings (id, ring): a ring is inner if another one holds any of its points
     (those on a side may fall either way). Equal rings count once."""
-    from terrafuse.functions.geometry import ring_contains
-
-    single = rings.groupBy("ring").agg(F.min("id").alias("id"))
+    single = cut(rings.groupBy("ring").agg(F.min("id").alias("id")))
     low, high = (lambda c, f=f: f(F.transform("ring", lambda p: p[c])) for f in (F.array_min, F.array_max))
-    span = lambda c: F.explode(F.sequence(cell(low(c), size), cell(high(c), size)))
-    holders = single.select(F.col("id").alias("outer"), "ring").withColumn("cx", span("x")).withColumn("cy", span("y"))
-    points = single.select("id", F.explode("ring").alias("p")).withColumn("cx", cell(F.col("p.x"), size)).withColumn("cy", cell(F.col("p.y"), size))
-    held = points.join(holders, ["cx", "cy"]).where("id <> outer").where(ring_contains(F.col("ring"), F.col("p.x"), F.col("p.y"))).select("id").distinct()
+    holders = single.select("id", "ring", low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
+    points = single.select("id", F.explode(F.array_distinct("ring")).alias("p")).select("id", "p.x", "p.y")
+
+    def run(p: pa.Table, r: pa.Table) -> pa.Table:
+        ids = T.column(p, "id")
+        held = T.any_held(T.column(p, "x"), T.column(p, "y"), ids, T.Rings(r["ring"]), T.column(r, "id"))
+        return pa.table({"id": np.unique(ids[held])})
+
+    held = T.by_tiles(points, holders, run, f"id {dict(single.dtypes)['id']}").distinct()
     return single.select("id").join(held.withColumn("inner", F.lit(True)), "id", "left").select("id", F.coalesce("inner", F.lit(False)).alias("inner"))
+
+
+def holding(rings: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id) of the rings (id, ring) that hold a line (x, y, u, v) from (x, y) to (u, v), nowhere on their edge; a ring is done with the first such line."""
+    low, high = (lambda c, f=f: f(F.transform("ring", lambda p: p[c])) for f in (F.array_min, F.array_max))
+    boxes = rings.select("id", "ring", low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
+
+    def run(p: pa.Table, r: pa.Table) -> pa.Table:
+        x, y, u, v = (T.column(p, c) for c in ("x", "y", "u", "v"))
+        ids, shape = T.column(r, "id"), T.Rings(r["ring"])
+        side = T.Rings(pa.array([[{"x": a, "y": b}, {"x": c, "y": d}] for a, b, c, d in zip(x, y, u, v, strict=True)], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+        held = np.zeros(len(ids), bool)
+        for i, j in T.pairs(x, y, shape.x0, shape.y0, shape.x1, shape.y1):
+            ok = ~held[j] & (u[i] >= shape.x0[j]) & (u[i] <= shape.x1[j]) & (v[i] >= shape.y0[j]) & (v[i] <= shape.y1[j])
+            i, j = i[ok], j[ok]
+            _, one = np.unique(j, return_index=True)  # most rings need no second line
+            for s in (one, np.setdiff1d(np.arange(len(j)), one)):
+                s = s[~held[j[s]]]
+                a, b = i[s], j[s]
+                inside = shape.hold(b, x[a], y[a]) & shape.hold(b, u[a], v[a])
+                a, b = a[inside], b[inside]
+                held[b[~shape.meet(b, a, side)]] = True
+        return pa.table({"id": ids[held]})
+
+    return T.by_tiles(lines.select("x", "y", "u", "v"), boxes, run, f"id {dict(rings.dtypes)['id']}").distinct()

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from terrafuse.functions import geometry as G
 from terrafuse.operators import address_files as A
 from terrafuse.operators import layers as L
-from terrafuse.operators import spatial as S
 from terrafuse.plans.q_layers import shared_folder
 from terrafuse.plans.registry import BX, NEAR, PT, query
 from terrafuse.sources import archives, glyph_files, lists, osm
@@ -42,11 +41,9 @@ SELECT bx.id, 'building=' || CASE WHEN c.id IS NULL THEN 'yes' ELSE 'church' END
 )
 def layer_buildings(t):
     """Buildings, those that hold a cross line as churches."""
-    crosses = t.near.where("id % 4 = 0").select(F.col("id").alias("line"), "x", "y")
-    held = S.points_in_boxes(crosses.withColumnRenamed("line", "id"), t.bx, 8.0)
-    line = F.array(_point(F.col("x"), F.col("y")), _point(F.col("x") + 0.05, F.col("y") + 0.05))
-    rows = held.join(crosses.withColumnRenamed("line", "point"), "point").join(_ring(t.bx).select(F.col("id").alias("box"), "ring"), "box").where(G.ring_holds(F.col("ring"), line))
-    rows = _ring(t.bx).where(G.signed_area(F.col("ring")) > 0).join(rows.select(F.col("box").alias("id")).distinct().withColumn("church", F.lit(True)), "id", "left")
+    lines = t.near.where("id % 4 = 0").select("x", "y", (F.col("x") + 0.05).alias("u"), (F.col("y") + 0.05).alias("v"))
+    held = L.holding(_ring(t.bx).select("id", "ring"), lines)
+    rows = _ring(t.bx).where(G.signed_area(F.col("ring")) > 0).join(held.withColumn("church", F.lit(True)), "id", "left")
     tags = L.building_tags(F.coalesce("church", F.lit(False)), (2000 + F.col("id") % 20).cast("string"), F.col("id") % 3)
     return rows.select("id", _text(tags).alias("tags"))
 
