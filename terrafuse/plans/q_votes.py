@@ -81,8 +81,8 @@ f AS (SELECT case_id, arg_max(choice, {{'t': ts, 'c': choice}}) AS r, max(ts) AS
 SELECT case_id, coalesce(r, resolution) AS resolution, coalesce(a, resolved_at) AS resolved_at FROM c LEFT JOIN f USING (case_id)"""
 )
 def force_resolution(t):
-    """The last vote of one in ten voters is forced on its case."""
-    cases = t.votes.groupBy("case_id").agg(F.max_by("choice", "ts").alias("resolution"), F.max("ts").alias("resolved_at"))
+    """The last vote of one in ten voters is forced on its case; of a case's last votes at one time the first in the table counts."""
+    cases = t.votes.groupBy("case_id").agg(F.max_by("choice", F.struct("ts", (-F.col("event_id")).alias("first"))).alias("resolution"), F.max("ts").alias("resolved_at"))
     return V.force_resolution(cases, t.votes.where("ip % 10 = 0").select("case_id", F.col("choice").alias("resolution"), F.col("ts").alias("at")))
 
 
