@@ -88,17 +88,11 @@ def build_addresses(parcel_boxes: DataFrame, limits: DataFrame, addresses: DataF
     wanted = parcels.attach(parcel_boxes.select("fid"), addresses).select("fid", F.explode("addresses").alias("address"))
     wanted = wanted.select("fid", "address", F.concat(number, suffix).alias("num"), street.alias("street")).withColumn("a", F.xxhash64("fid", "address"))
     wanted = cut(wanted.join(boxes, "fid"))
-    # candidates have the number and lie within the ladder's last step of the parcel's box; "6" and "9" look alike when they are turned
-    last = float(spatial.LADDER[-1])
+    # "6" and "9" look alike when they are turned
     key = lambda c: F.when(F.col(c).isin("6", "9"), "6/9").otherwise(F.col(c))
-    over = lambda low, high: F.explode(F.sequence(spatial.cell(F.col(low) - last, last), spatial.cell(F.col(high) + last, last)))
-    wide = wanted.where("num <> ''").withColumn("key", key("num")).withColumn("cx", over("x0", "x1")).withColumn("cy", over("y0", "y1"))
-    marks = drawn.select(F.col("id").alias("point"), key("num").alias("key"), "x", "y", spatial.cell(F.col("x"), last).alias("cx"), spatial.cell(F.col("y"), last).alias("cy"))
-    rows = wide.withColumnRenamed("a", "box").join(marks, ["key", "cx", "cy"])
-    distance = F.greatest(F.col("x0") - F.col("x"), F.lit(0.0), F.col("x") - F.col("x1")), F.greatest(F.col("y0") - F.col("y"), F.lit(0.0), F.col("y") - F.col("y1"))
-    far = F.sqrt(distance[0] * distance[0] + distance[1] * distance[1])
-    edges = rows.select(F.col("box").alias("a"), F.col("point").alias("b"), spatial.ladder_step(far, F.col("limited")).alias("step")).where("step is not null")
-    taken = spatial.greedy_pairs(edges, ["step"])
+    boxes = wanted.where("num <> ''").select(key("num").alias("key"), F.col("a").alias("id"), "x0", "y0", "x1", "y1", "limited")
+    marks = drawn.where("num is not null").select(key("num").alias("key"), "id", "x", "y")
+    taken = spatial.climbed(marks, boxes, ["key"], point_first=False).select(F.col("box").alias("a"), F.col("point").alias("b"), "step")
     placed = wanted.join(taken, "a", "left").join(drawn.select(F.col("id").alias("b"), F.col("x").alias("dx"), F.col("y").alias("dy")), "b", "left")
     how = F.when(F.col("b").isNotNull(), "drawn").otherwise("parcel")
     off = lambda d, low, high: F.greatest(F.col(low) - F.col(d), F.lit(0.0), F.col(d) - F.col(high))
