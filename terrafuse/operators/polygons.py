@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafuse.functions.geometry import let, rings_intersect, signed_area
+from terrafuse.operators import tiles as T
 
 _RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -161,7 +162,7 @@ def repair(rings: DataFrame, least: float, share: float = 0.99) -> DataFrame:
                 areas.append(sum(abs(area(r)) for r in loops))
             yield pa.RecordBatch.from_arrays([batch.column("id"), _struct_rings(parts), pa.array(areas, pa.float64()), pa.array(valid, pa.bool_())], ["id", "parts", "area", "valid"])
 
-    return rings.select("id", "ring").mapInArrow(run, f"id {dict(rings.dtypes)['id']}, parts {_RINGS}, area double, valid boolean")
+    return T.spread(rings.select("id", "ring")).mapInArrow(run, f"id {dict(rings.dtypes)['id']}, parts {_RINGS}, area double, valid boolean")
 
 
 def junctions(pairs: DataFrame, way_nodes: DataFrame) -> DataFrame:
